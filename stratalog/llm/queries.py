@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from .op01_packing import op1_best_fit_packing
+from .op03_decontamination import ORACLE as DECONTAMINATION_SQL
+from .op03_decontamination import op3_decontamination
 from .op08_token_store import op8_token_store
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_decontamination": op3_decontamination,
     "op8_token_store": op8_token_store,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": DECONTAMINATION_SQL,
+}

@@ -104,3 +104,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns alone, so that no other column can clash with what an operator adds."""
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; a plain reference inside a lambda would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(lengths: Column, block: int = 512) -> Column:
+    """Running sums of an integer array, block by block, so that long arrays don't cost the square of their size."""
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    add_up = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: add_up(F.slice(lengths, b * block + 1, block)))
+    shifted = lambda inner: let(add_up(F.transform(inner, last)), lambda sums: F.flatten(F.transform(inner, lambda p, i: F.transform(p, lambda x: x + F.coalesce(F.get(sums, i - 1), F.lit(0))))))
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(parts, shifted))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as array<struct<start:int,end:int,value:string>>, in code points, end exclusive."""
+    step = lambda gap, hit: F.length(gap) + F.length(hit)
+    place = lambda hits: lambda gaps: let(
+        running(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, step)),
+        lambda ends: F.zip_with(hits, ends, lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("value"))),
+    )
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern), place(hits))))

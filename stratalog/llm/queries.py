@@ -5,11 +5,13 @@ from __future__ import annotations
 from .op01_packing import op1_best_fit_packing
 from .op03_decontamination import ORACLE as DECONTAMINATION_SQL
 from .op03_decontamination import op3_decontamination
+from .op04_pii import op4_pii
 from .op08_token_store import op8_token_store
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
     "op8_token_store": op8_token_store,
 }
 ORACLES: dict[str, str] = {

@@ -120,7 +120,7 @@ def running(lengths: Column, block: int = 512) -> Column:
     return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(parts, shifted))
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<start:int,end:int,value:string>>, in code points, end exclusive."""
     step = lambda gap, hit: F.length(gap) + F.length(hit)
     place = lambda hits: lambda gaps: let(
@@ -128,5 +128,6 @@ def match_spans(text: Column, pattern: str) -> Column:
         lambda ends: F.zip_with(hits, ends, lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("value"))),
     )
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     return let(found, lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern), place(hits))))

@@ -6,12 +6,14 @@ from .op01_packing import op1_best_fit_packing
 from .op03_decontamination import ORACLE as DECONTAMINATION_SQL
 from .op03_decontamination import op3_decontamination
 from .op04_pii import op4_pii
+from .op05_license_scan import op5_license_scan
 from .op08_token_store import op8_token_store
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
+    "op5_license_scan": op5_license_scan,
     "op8_token_store": op8_token_store,
 }
 ORACLES: dict[str, str] = {

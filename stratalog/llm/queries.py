@@ -7,6 +7,8 @@ from .op03_decontamination import ORACLE as DECONTAMINATION_SQL
 from .op03_decontamination import op3_decontamination
 from .op04_pii import op4_pii
 from .op05_license_scan import op5_license_scan
+from .op06_jaccard_join import ORACLE as JACCARD_SQL
+from .op06_jaccard_join import op6_jaccard_join
 from .op08_token_store import op8_token_store
 
 QUERIES = {
@@ -14,8 +16,10 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_license_scan": op5_license_scan,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_token_store": op8_token_store,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION_SQL,
+    "op6_jaccard_join": JACCARD_SQL,
 }

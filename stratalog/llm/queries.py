@@ -10,6 +10,7 @@ from .op05_license_scan import op5_license_scan
 from .op06_jaccard_join import ORACLE as JACCARD_SQL
 from .op06_jaccard_join import op6_jaccard_join
 from .op08_token_store import op8_token_store
+from .op09_suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_token_store": op8_token_store,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION_SQL,

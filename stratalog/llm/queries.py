@@ -11,6 +11,7 @@ from .op06_jaccard_join import ORACLE as JACCARD_SQL
 from .op06_jaccard_join import op6_jaccard_join
 from .op08_token_store import op8_token_store
 from .op09_suffix_dedup import op9_suffix_dedup
+from .op10_spotsigs import op10_spotsigs
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op8_token_store": op8_token_store,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_spotsigs": op10_spotsigs,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION_SQL,

@@ -22,13 +22,13 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, documents, shuffle_partitions
 from .components import components
 
-POSTED = "bucket int, doc_id long, n long, ref long, blob binary"
+POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
 SETS = "ref long, n long, unshared long, keys binary"
 
 
@@ -62,7 +62,7 @@ def _post(size: int, buckets: int):
         from .shingles import mix, shingle_sets
         from .tokens import texts
 
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch, rows in texts(batches):
             sets = list(shingle_sets(rows, size))
             refs = np.array([int((mix(s + np.uint64(0x51ED27)).sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(s)) if len(s) else 0) for s in sets], np.uint64)
@@ -70,7 +70,7 @@ def _post(size: int, buckets: int):
             _, once = np.unique(refs, return_index=True)  # copies within the batch are posted once
             once = once[n[once] > 0]
             out = [(np.arange(len(sets)) % buckets).tolist(),  # rows of documents go round, so that copies don't meet
-                   batch.column(0).to_pylist(), n.tolist(), refs.view(np.int64).tolist(), [None] * len(sets)]
+                   batch.column(0).to_pylist(), batch.column(2).to_pylist(), n.tolist(), refs.view(np.int64).tolist(), [None] * len(sets)]
             if len(once):
                 keys, owner = np.concatenate([sets[i] for i in once]), np.repeat(np.arange(len(once)), n[once])
                 to = (keys % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
@@ -79,9 +79,9 @@ def _post(size: int, buckets: int):
                 edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                     who, count = np.unique(owner[a:b], return_counts=True)
-                    for col, x in zip(out, (int(to[a]), None, None, None, _pack(refs[once[who]], n[once[who]], count, keys[a:b]))):
+                    for col, x in zip(out, (int(to[a]), None, None, None, None, _pack(refs[once[who]], n[once[who]], count, keys[a:b]))):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "doc_id", "n", "ref", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "doc_id", "h", "n", "ref", "blob"])
 
     return run
 
@@ -119,7 +119,7 @@ def _shared(buckets: int):
                 out[0].append(int(to[a]))
                 out[1].append(_pack(names[who], sizes[who], k, keys[a:b]) + sets[a:b].astype("<u4").tobytes())
         k = len(out[0])
-        more = pa.table({"bucket": pa.array(out[0], pa.int32()), "doc_id": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "ref": pa.nulls(k, pa.int64()), "blob": pa.array(out[1], pa.binary())})
+        more = pa.table({"bucket": pa.array(out[0], pa.int32()), "doc_id": pa.nulls(k, pa.int64()), "h": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "ref": pa.nulls(k, pa.int64()), "blob": pa.array(out[1], pa.binary())})
         return pa.concat_tables([docs.select(more.column_names).cast(more.schema), more])
 
     return run
@@ -206,15 +206,17 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id: two documents link when 100 * intersection >= percent * union of their n-gram sets."""
+def classify(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id, keeper (the row of the least doc_id, then h, of its component; none without n-grams) for each document.
+
+    Two documents link when 100 * intersection >= percent * union of their n-gram sets."""
     spark = docs.sparkSession
     scratch, buckets = Scratch(spark, "jaccard"), shuffle_partitions(spark)
     with arrow_batches(spark):
-        posted = documents(docs).mapInArrow(_post(size, buckets), POSTED)
+        posted = documents(docs, F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(_post(size, buckets), POSTED)
         counted = scratch.save(posted.groupBy("bucket").applyInArrow(_shared(buckets), POSTED), "counted")
         _release(spark)
-        members = counted.filter(F.col("blob").isNull()).select("doc_id", "n", "ref")
+        members = counted.filter(F.col("blob").isNull()).select("doc_id", "h", "n", "ref")
         sets = scratch.save(counted.filter(F.col("blob").isNotNull()).select("bucket", "blob").groupBy("bucket").applyInArrow(_ranked(percent), SETS), "sets")
         prefix = scratch.save(sets.mapInArrow(_prefix(percent), "key long, ref long, n long, at long"), "prefix")
         _release(spark)
@@ -243,13 +245,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
 
 def _classes(members: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """The smallest doc_id of each component, first over copies, then over linked sets."""
-    first = members.filter("n > 0").groupBy("ref").agg(F.min("doc_id").alias("low"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h"))
+    first = members.filter("n > 0").groupBy("ref").agg(least.alias("low"))
     of_set = first.join(comps, F.col("ref") == F.col("node"), "left").select("ref", "low", F.coalesce("comp", "ref").alias("comp"))
     of_set = scratch.save(of_set, "classes")
-    of_comp = of_set.groupBy("comp").agg(F.min("low").alias("component_id"))
-    known = of_set.join(of_comp, "comp").select(F.col("ref").alias("known"), "component_id")
+    of_comp = of_set.groupBy("comp").agg(F.min("low").alias("low"))
+    known = of_set.select("ref", "comp").join(of_comp, "comp").select(F.col("ref").alias("known"), "low")
     out = members.join(known, (F.col("ref") == F.col("known")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    keeper = F.col("low").isNotNull() & F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("h") == F.col("low.h"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("low.doc_id", "doc_id").alias("component_id"), keeper.alias("keeper"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id for each document."""
+    return classify(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, all columns, of which one of each component stays: that of the smallest doc_id, then text hash.
+
+    Documents without n-grams are in no group and stay. Rows with equal doc_id and equal text are one, if they have n-grams."""
+    found = Scratch(docs.sparkSession, "one").save(classify(docs, size, percent).filter("n_shingles > 0"), "classes")
+    gone = found.filter(~F.col("keeper")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
+    key = F.xxhash64(F.col("text").cast("string"))
+    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (key == F.col("_h")), "left_anti")
+    twice = found.filter("keeper").groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("_twice"), F.col("h").alias("_h"))
+    if twice.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice")) & (key == F.col("_h"))
+    once = left.join(F.broadcast(twice) if twice.count() < 100_000 else twice, same).dropDuplicates(["_twice", "_h"]).select(*docs.columns)
+    return left.join(twice, same, "left_anti").unionByName(once)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

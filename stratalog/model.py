@@ -24,8 +24,8 @@ ENTRY = T.StructType(
     ]
 )
 #: An entry whose value may stand in a value batch instead: ``batch_id`` and ``offset`` are null where it stands inline.
-STORED = T.StructType([*ENTRY.fields, T.StructField("batch_id", T.LongType(), True), T.StructField("offset", T.IntegerType(), True)])
-VALUES = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
+STORED = T.StructType([*ENTRY.fields, T.StructField("batch_id", T.LongType(), True), T.StructField("offset", T.LongType(), True)])
+VALUES = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
 TABLES = T.StructType(
     [
         T.StructField("table_id", T.LongType()),

@@ -1 +1 @@
-
+"""Ready plans over the driver's tables."""

@@ -92,9 +92,10 @@ def _shared(buckets: int):
     def run(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         blobs = table.column("blob").drop_null().to_pylist()
-        docs = table.filter(pa.compute.is_null(table.column("blob")))
+        docs = table.filter(pc.is_null(table.column("blob")))
         del table
         out: list[list] = [[], []]
         if blobs:
@@ -239,7 +240,7 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         more = scratch.save(_links(cross.select("a", "b").distinct(), sets, percent), "links2")
         _release(spark)
         if not more.isEmpty():
-            comps = components(links.unionByName(more), scratch, "second")
+            comps = components(more, scratch, "second", known=comps)
     return _classes(members, comps, scratch)
 
 

@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     side = lambda x: named.select("part", "key", F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("comp").alias(f"c{x}"))
     cross = side("a").join(side("b"), ["part", "key"]).filter((F.col("ca") < F.col("cb")) & can(F.col("na"), F.col("nb"), F.col("ata"), F.col("atb")))
     more = scratch.save(links(cross.select("a", "b")), "links2")
-    comps = components(found.unionByName(more), scratch, "second")
+    comps = components(more, scratch, "second", known=comps)
     of_set = rows.filter("n > 0").groupBy("ref").agg(F.min("doc_id").alias("low")).join(comps, F.col("ref") == F.col("node"), "left").select("ref", "low", F.coalesce("comp", "ref").alias("comp"))
     low = of_set.join(of_set.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("ref", "component_id")
     return rows.join(low, "ref", "left").select("doc_id", F.col("n").alias("n_spots"), F.coalesce("component_id", "doc_id").alias("component_id"))

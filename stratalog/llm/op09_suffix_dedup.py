@@ -185,10 +185,11 @@ def _judge(length: int):
     def run(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         from .bwt import repeated
 
-        ready = table.filter(pa.compute.is_null(table.column("blob"))).select(["doc_id", "h", "start", "end"])
+        ready = table.filter(pc.is_null(table.column("blob"))).select(["doc_id", "h", "start", "end"])
         blobs = table.column("blob").drop_null().to_pylist()
         del table
         if not blobs:

@@ -1,0 +1,170 @@
+import hashlib
+import re
+
+import pytest
+
+from stratalog.llm import op03_decontamination as clean
+from stratalog.llm import op04_pii as pii
+from stratalog.llm import op05_license_scan as lic
+from stratalog.llm import op10_spotsigs as spot
+from stratalog.llm.license_rules import rules
+
+WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOW))
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+
+
+def no_python(df):
+    assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
+
+
+def test_decontamination(spark, docs, rows, empty):
+    text = dict(rows)
+    items = [(1, text[10]), (2, "the of and"), (3, None), (4, "..."), (5, text[97][30:200]), (6, text[97][30:200]), (7, "word"), (10, "tie OF ids"), (11, text[40] + " more")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = clean.decontaminate(docs, bench)
+    no_python(got)
+    want = []
+    for d, t in rows:
+        w, hit, held = words(t), set(), set()
+        for i, x in items:
+            v = words(x)
+            n = min(len(v), 10)
+            for s in range(max(len(v) - 9, 1) if v else 0):
+                for k in range(len(w) - n + 1):
+                    if w[k : k + n] == v[s : s + n]:
+                        hit.update(range(k, k + n))
+                        held.add(str(i))
+        want.append((d or -1, len(w), len(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), bool(hit)))
+    assert sorted((r.doc_id or -1, *r[1:]) for r in got.collect()) == sorted(want)
+    assert sum(x[5] for x in want) > 10
+    assert clean.drop_contaminated(docs, bench).count() == sum(not x[5] for x in want) and clean.drop_contaminated(docs, bench).columns == docs.columns
+    assert clean.decontaminate(empty, bench).count() == 0
+    assert not any(r.contaminated for r in clean.decontaminate(docs, bench.limit(0)).collect())
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PERSONAL = [
+    "a@b.c@d.e a@b.cd%x@y.z q@w.e.", "1.2.3.4.5.6.7.8 300.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1111 5", "+1 (2) 3456789- +1+12345678901 +1(((((", "é😀a@b.c 😀 10.0.0.1", "", None,
+    "x" * 20000 + "@", "1" * 20000, ("a." * 3000) + "@" + "b.c" * 2000, 'token = "740d10cfb38a379bfbce847f43f32482d573dc8b" call (415) 555-2671', "card 4111111111111111 at 192.168.0.1, mail me@x.org " * 30, "sha1 740d10cfb38a379bfbce847f43f32482d573dc8b of the file",
+]
+
+
+def holds(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, digits[::-1]))) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def test_personal_data(spark, empty):
+    df = frame(spark, PERSONAL)
+    found = pii.report(df)
+    no_python(found)
+    got = {r.doc_id: r for r in found.collect()}
+    for i, t in enumerate(PERSONAL):
+        base = {k: [(m.start(), m.end()) for m in re.finditer(p, t or "") if holds(k, m[0])] for k, p in PATTERNS.items()}
+        spelled = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in base[k])
+        assert got[i].base_sha256 == hashlib.sha256(spelled.encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == [len(base[k]) for k in PATTERNS]
+        assert got[i].spans.startswith(spelled)
+    assert "secret:9:49" in got[10].spans and got[12].spans == ""  # context speaks for one and against the other
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert masked[2] == "[CARD] and 4111-1111-1111-1111 5" and masked[4] == "é😀[EMAIL] 😀 [IP]" and masked[6] is None and masked[5] == ""
+    assert masked[10] == 'token = "[SECRET]" call [TEL]' and "[CARD] at [IP], mail [EMAIL]" in masked[11]
+    assert pii.report(empty).count() == 0 and pii.mask(empty).columns == empty.columns
+
+
+def test_labelers_are_weighed():
+    """A labeler that agrees with the others gets a high weight, one that votes at random a low one."""
+    import random
+
+    rnd = random.Random(4)
+    rows = {}
+    for _ in range(4000):
+        true = rnd.random() < 0.4
+        good = lambda p: (1 if true else -1) if rnd.random() < p else (-1 if true else 1)  # noqa: B023,E731
+        v = ("secret", (good(0.95), good(0.9), good(0.85), rnd.choice((-1, 0, 1)), good(0.9)))
+        rows[v] = rows.get(v, 0) + 1
+    w = pii.train([(k, v, n) for (k, v), n in rows.items()])
+    assert w["shape 1"] - w["shape -1"] > 4 * abs(w.get("characters 1", 0) - w.get("characters -1", 0))
+
+
+LICENSED = ["CC BY cc by, CC-BY 4.0 all rights reserved", "", None, "...", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "cc", "all rights reserved" * 3, "Permission is hereby granted, free of charge, to any person obtaining a copy", "SPDX-License-Identifier: GPL-2.0-or-later", "GNU Lesser General Public License version 2.1", "Apache License, Version 2.0 and the MIT License", "cc by " * 400]
+
+
+def test_licenses(spark, docs, rows, empty):
+    got = {r.doc_id: r for r in lic.report(frame(spark, LICENSED)).collect()}
+    for i, t in enumerate(LICENSED):
+        w = words(t)
+        starts = {p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()] for p in lic.BASE}
+        every = sorted(sum(starts.values(), []))
+        labels = sorted(lic.BASE[p] for p in starts if starts[p])
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == (len(w), len(every), min(every, default=None), max(every, default=None), ",".join(labels))
+        assert set(labels) <= {*got[i].labels.split(",")} and 0 <= got[i].score <= 1
+    assert [got[i].labels for i in (4, 5, 8, 9, 11)] == ["cc-by,cc-by-nc-4.0", "gpl,gpl-3.0", "mit", "gpl-2.0", "apache-2.0,mit"]
+    assert "lgpl-2.1" in got[10].labels
+    out = lic.report(docs)
+    no_python(out)
+    assert out.count() == len(rows) and lic.report(empty).count() == 0
+    assert len(rules()) >= 300
+    for _, label, keyword, pattern, _ in rules():
+        re.compile(pattern.replace("\\b", r"\b"))
+        assert label and keyword
+
+
+ANCHORS = set(spot.ANCHORS)
+
+
+def spots(text):
+    w = words(text)
+    c = [i for i, x in enumerate(w) if x not in ANCHORS]
+    made = {(w[c[k] - 1], w[c[k]], w[c[k + 1]]) for k in range(len(c) - 1) if c[k] > (c[k - 1] if k else -1) + 1}
+    return made or {(x,) for x in w}
+
+
+def jaccard(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def test_spotsigs(spark, empty):
+    texts = ["The cat sat on the mat, and the dog of the house barked", "", None, "The of and", "plain words alone here", "é😀 the big of house was open", "The cat sat on the mat, and the dog of the house barked", "x"]
+    out = spot.compare(frame(spark, texts))
+    no_python(out)
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert len(r.fingerprint) == 8 * len(spots(t)) and len(r.edited_fingerprint) == 8 * len(spots(edited))
+        assert r.near_edited == pytest.approx(jaccard(spots(t), spots(edited))) and r.near_next == pytest.approx(jaccard(spots(t), spots(after)))
+    assert got[0].fingerprint == got[6].fingerprint != got[4].fingerprint
+    assert spot.compare(empty).count() == 0
+    one = spot.compare(frame(spark, ["the same old text"])).first()  # its own next
+    assert one.near_next == 1.0 and one.near_edited == pytest.approx(jaccard(spots("the same old text"), spots("the same the same")))
+
+
+def test_spotsigs_near_duplicates(docs, rows, empty):
+    got = {(r.doc_id, r.n_spots): r.component_id for r in spot.near_duplicates(docs).collect()}
+    sets = [(d, spots(t)) for d, t in rows if d is not None]
+    group = {d: d for d, _ in sets}
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b) and group[d] != group[e]:
+                low, high = sorted((group[d], group[e]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    for d, a in sets:
+        if d != 904:  # ids that several rows share
+            assert got[(d, len(a))] == group[d]
+    assert spot.near_duplicates(empty).count() == 0

@@ -1,7 +1,7 @@
 """Token ids of whole texts with the ``tokenizers`` library, fast enough for a corpus.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its white-space words in
-order. Words repeat; each worker keeps the ids of the words it has met (a bounded cache, emptied when full). A new word
+order. Words repeat; each worker keeps the ids of the words it has met (a bounded cache). A new word
 of plain letters, digits and punctuation is split by the tokenizer's own rule and its pieces go to the library's BPE
 model directly; any other word goes through the library's whole ``encode``.
 """
@@ -15,12 +15,14 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 END_ID = 1
-#: Words longer than this are encoded but not kept.
-LONGEST_KEPT, MOST_WORDS, MOST_PIECES = 48, 250_000, 350_000
+#: Words longer than this are encoded but not kept; words up to SHORT bytes are kept in every spelling.
+LONGEST_KEPT, SHORT, MOST_WORDS = 48, 8, 800_000
 
 #: The pieces of a lower-cased word by the tokenizer's rule, for ASCII and Latin-1 letters.
 _LATIN = "a-zß-öø-ÿ"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
+_LETTERS = re.compile(rf"[{_LATIN}]+")
+_MARKS = frozenset(b".,;:!?")
 _PLAIN = re.compile(r"[\x21-\x7eA-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -37,45 +39,50 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Lower-cased piece -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, model):
-        self.model, self.table = model, _byte_chars()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MOST_PIECES:
-            self.clear()
-        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            self[piece] = ids
-        return ids
-
-
 class _Words(dict):
-    """White-space word (UTF-8) -> its ids."""
+    """White-space word (UTF-8) -> its ids as little-endian unsigned 32-bit integers.
+
+    A cache of two generations: when the young one is full it becomes the old one, from which what is still used comes
+    back. Longer words that are a known one but for case or a last mark are put together each time and not kept."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _Pieces(self.tokenizer.model)
+        self.model, self.table, self.old = self.tokenizer.model.tokenize, _byte_chars(), {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text and len(text) <= 4096:
-            pieces = self.pieces
-            ids = b"".join([pieces[p] for p in _PIECE.findall(text.lower())])
-        else:
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def keep(self, word: bytes, ids: bytes) -> bytes:
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= MOST_WORDS:
+            if len(self) >= MOST_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is not None:
+            return self.keep(word, ids)
+        low = word.lower()
+        core, mark = (low[:-1], low[-1:]) if low[-1] in _MARKS else (low, b"")
+        if core.isalpha() or (core and not core.isascii() and _LETTERS.fullmatch(core := core.decode().lower()) and (core := core.encode())):
+            ids = self.piece(core) + self.piece(mark) if mark else self.piece(core)
+            return self.keep(word, ids) if len(word) <= SHORT and word != core else ids
+        text = word.decode()
+        if len(text) <= 4096 and _PLAIN.fullmatch(text) and "<|" not in text:
+            return self.keep(word, b"".join([self.piece(p.encode()) for p in _PIECE.findall(text.lower())]))
+        return self.keep(word, array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+
+    def piece(self, piece: bytes) -> bytes:
+        """A lower-cased piece of the tokenizer's rule."""
+        if (ids := self.get(piece)) is not None:
+            return ids
+        if (ids := self.old.get(piece)) is None:
+            spelled = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.table)
+            ids = array("I", [t.id for t in self.model(spelled)]).tobytes()
+        return self.keep(piece, ids)
+
 
 _END = array("I", [END_ID]).tobytes()
 _kept: dict[str, _Words] = {}

@@ -66,7 +66,8 @@ class Params:
     """Settings of a store.
 
     ``path`` must be reachable by driver and executors. ``max_open_files`` and ``block_restart_interval`` are accepted and
-    have no effect: Parquet and the operating system's page cache do their work.
+    have no effect: Parquet and the operating system's page cache do their work. ``compaction_concurrency`` bounds nothing
+    here, because one merge is one Spark job whose tasks run in parallel. The defaults of sizes and counts are fixed values.
     """
 
     path: str = "./storage.strata"

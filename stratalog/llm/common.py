@@ -131,3 +131,11 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
     pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     return let(found, lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern), place(hits))))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the DataFrame doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -84,6 +84,7 @@ class Model:
     def __init__(self, rows: list[tuple[str, bytes]]):
         import numpy as np
 
+        rows = [(lang, b) for lang, b in rows if b]  # an empty text teaches nothing
         self.languages = sorted({lang for lang, _ in rows})
         k = len(self.languages)
         if k < 2:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, words
+from .common import Scratch, documents, fresh, words
 
 #: Words of a shingle; a window of fewer words is one shingle.
 SHINGLE = 4
@@ -116,8 +116,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, all columns, that hold no window of the benchmark. A document whose doc_id a contaminated row shares goes, too."""
-    gone = mark(docs, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh(docs, "gone")
+    gone = mark(docs, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

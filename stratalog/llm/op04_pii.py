@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, match_spans
+from .common import Scratch, documents, fresh, match_spans
 
 #: The base kinds in order, with their patterns.
 BASE = {
@@ -179,23 +179,25 @@ def report(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     scratch = Scratch(docs.sparkSession, "pii-mask")
-    keep = docs.columns
+    keep, (hash_, n_, spans_) = docs.columns, (fresh(docs, x) for x in ("hash", "n", "spans"))
     # Spans depend on the text alone: equal texts share them, and the join is on the text's hash and length.
-    key = lambda: [F.xxhash64("text").alias("_hash"), F.length("text").alias("_n")]
-    found = scratch.save(candidates(docs).filter(F.size("voted") > 0).select(*key(), *BASE, "voted").dropDuplicates(["_hash", "_n"]), "candidates")
+    key = lambda: [F.xxhash64("text").alias(hash_), F.length("text").alias(n_)]
+    own = documents(docs)
+    found = scratch.save(candidates(own).filter(F.size("voted") > 0).select(*key(), *BASE, "voted").dropDuplicates([hash_, n_]), "candidates")
     named = lambda kind: lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"))
     spans = F.concat(*[F.transform(F.col(k), named(k)) for k in BASE], F.transform("more", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     last = lambda acc: F.element_at(acc, -1)
     longer = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"), last(acc)["kind"].alias("kind"))))
     merge = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(F.try_element_at(acc, F.lit(-1))["end"] > x["start"], longer(acc, x)).otherwise(F.concat(acc, F.array(x)))
     merged = F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int,kind:string>>"), merge)
-    places = found.withColumn("more", _accepted(found)).select("_hash", "_n", merged.alias("_spans")).filter(F.size("_spans") > 0)
-    text = F.col("text")
-    piece = lambda s, i: F.concat(F.substring(text, F.coalesce(F.get(F.col("_spans"), i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(F.col("_spans"), i - 1)["end"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    tail = F.substring(text, F.element_at("_spans", -1)["end"] + 1, F.length(text))
-    masked = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(F.array_join(F.transform("_spans", piece), ""), tail))
-    rows = docs.select("*", *key())
-    return rows.join(places, ["_hash", "_n"], "left").withColumn("text", masked).select(*keep)
+    places = found.withColumn("more", _accepted(found)).select(hash_, n_, merged.alias(spans_)).filter(F.size(spans_) > 0)
+    text, at = F.col("text"), F.col(spans_)
+    since = lambda i: F.coalesce(F.get(at, i - 1)["end"], F.lit(0))
+    piece = lambda s, i: F.concat(F.substring(text, since(i) + 1, s["start"] - since(i)), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    tail = F.substring(text, F.element_at(at, -1)["end"] + 1, F.length(text))
+    masked = F.when(at.isNull(), text).otherwise(F.concat(F.array_join(F.transform(at, piece), ""), tail))
+    joined = docs.select("*", *key()).join(places, [hash_, n_], "left")
+    return joined.select(*[masked.alias(c) if c == "text" else F.col(f"`{c}`") for c in keep])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

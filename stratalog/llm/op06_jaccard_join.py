@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, documents, shuffle_partitions
+from .common import Scratch, arrow_batches, documents, fresh, shuffle_partitions
 from .components import components
 
 POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
@@ -267,14 +267,14 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
     Documents without n-grams are in no group and stay. Rows with equal doc_id and equal text are one, if they have n-grams."""
     found = Scratch(docs.sparkSession, "one").save(classify(docs, size, percent).filter("n_shingles > 0"), "classes")
-    gone = found.filter(~F.col("keeper")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
-    key = F.xxhash64(F.col("text").cast("string"))
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (key == F.col("_h")), "left_anti")
-    twice = found.filter("keeper").groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("_twice"), F.col("h").alias("_h"))
+    id_, h_ = fresh(docs, "other_id"), fresh(docs, "other_h")
+    named = [F.col("doc_id").alias(id_), F.col("h").alias(h_)]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h_))
+    left = docs.join(found.filter(~F.col("keeper")).select(*named).distinct(), same, "left_anti")
+    twice = found.filter("keeper").groupBy("doc_id", "h").count().filter("count > 1").select(*named)
     if twice.isEmpty():
         return left
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_twice")) & (key == F.col("_h"))
-    once = left.join(F.broadcast(twice) if twice.count() < 100_000 else twice, same).dropDuplicates(["_twice", "_h"]).select(*docs.columns)
+    once = left.join(twice, same).dropDuplicates([id_, h_]).select(*docs.columns)
     return left.join(twice, same, "left_anti").unionByName(once)
 
 

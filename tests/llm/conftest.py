@@ -30,7 +30,7 @@ def docs(spark):
         rows.append((i, " ".join(w), "de"))
     for i in range(95, 105):
         rows.append((i, f"{prose(20)} {passage} {prose(10)}", None))
-    return spark.createDataFrame(rows + ODD, "doc_id long, text string, lang string").select("*", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *[F.lit(1).alias(x) for x in ("row", "n", "ref", "key", "start", "spans", "h", "range")]).repartition(3)
+    return spark.createDataFrame(rows + ODD, "doc_id long, text string, lang string").select("*", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *[F.lit(1).alias(x) for x in ("row", "n", "ref", "key", "start", "spans", "h", "range", "hash", "gone", "other_id", "other_h", "email", "at")]).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -26,6 +26,8 @@ def test_language_edge_cases(spark, docs, rows, empty):
     assert [found[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and found[903].lang_pred in ("en", "de", "fr")
     assert lid.identify(empty).count() == 0
     assert {r.lang_pred for r in lid.identify(docs, lid.Model([])).collect()} == {"und"}
+    model = lid.train(docs)
+    assert np.isfinite(model.scale).all() and model.decode("words of a text")[1] > 0  # empty training texts do no harm
     kept = lid.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == len([1 for _, t in rows if t and re.search(r"[^\W\d_]", t)])
 

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 
-_BITS, _FIRST = 9, 7  # seven symbols of nine bits make one sort key
+_BITS, _FIRST = 9, 4  # symbols have nine bits; four make the first sort key
+
+
+def _sorted(key: np.ndarray) -> np.ndarray:
+    """Positions in the order of non-negative keys; sorting key and position packed in one integer is faster than argsort."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) >> (63 - bits):
+        return np.argsort(key)
+    packed = key << bits | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << bits) - 1)
 
 
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -16,7 +26,7 @@ def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
     for j in range(_FIRST):
         key = (key << _BITS) | padded[j : n + j]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = _sorted(key)
         new = np.empty(n, bool)
         new[:1], new[1:] = True, key[order[1:]] != key[order[:-1]]
         if done >= length or new.all():
@@ -38,10 +48,10 @@ def boundaries(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     last of a string."""
     n = len(symbols)
     order = suffix_order(symbols, length)
-    before = np.where(order > 0, symbols[order - 1], 0).astype(np.int64)
+    before = np.where(order > 0, symbols[order - 1], 0).astype(np.int16)
     last_first = np.empty(n, np.int64)
     last_first[np.argsort(before, kind="stable")] = np.arange(n)
-    edge = np.zeros(n + 1, bool)
+    edge, bits = np.zeros(n + 1, bool), n.bit_length()
     low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
     for level in range(length):
         size = high - low
@@ -49,12 +59,12 @@ def boundaries(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
             break
         owner = np.repeat(np.arange(len(size)), size)
         rows = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        key = owner * 512 + before[rows]
+        symbol = before[rows].astype(np.int64)
+        packed = (owner << _BITS | symbol) << bits | rows
         if level:
-            extend = before[rows] != 0
-            key, rows = key[extend], rows[extend]
-        by = np.argsort(key, kind="stable")
-        key, rows = key[by], rows[by]
+            packed = packed[symbol != 0]
+        packed.sort()
+        key, rows = packed >> bits, packed & ((1 << bits) - 1)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         last = np.concatenate([first[1:], [len(key)]]) - 1 if len(first) else first
         low, high = last_first[rows[first]], last_first[rows[last]] + 1

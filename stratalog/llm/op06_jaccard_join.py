@@ -7,7 +7,7 @@
 3. In the order (count, hash), a set's unshared n-grams come first and take up its prefix; what is left of the prefix is
    indexed. Most sets have nothing left and are done.
 4. Prefix n-grams give candidates under the length filter and the positional filter. First each n-gram's sets are paired
-   with one pivot alone, and the links found give components. Only sets of different components that share a prefix
+   with one pivot alone, the set whose n-grams are the most frequent, and the links found give components. Only sets of different components that share a prefix
    n-gram are paired after that, so a group of near copies costs its size and not its square. A pair is distinct before
    it is verified: it goes through the suffix filter (counts by class of hash bound the overlap) and one intersection.
 5. Components of all links; each document gets its component's smallest doc_id.
@@ -29,7 +29,7 @@ from .common import Scratch, arrow_batches, documents, fresh, shuffle_partitions
 from .components import components
 
 POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
-SETS = "ref long, n long, unshared long, keys binary"
+SETS = "ref long, n long, unshared long, hub long, keys binary"
 
 
 def _pack(ref, n, count, keys) -> bytes:
@@ -127,7 +127,9 @@ def _shared(buckets: int):
 
 
 def _ranked(percent: int):
-    """A bucket of references: each set's shared n-grams in the order (count, hash), if its prefix reaches them."""
+    """A bucket of references: each set's shared n-grams in the order (count, hash), if its prefix reaches them.
+
+    hub is the mean count of its n-grams in thousandths: of a group of near copies, the one that is most like all has the highest."""
 
     def run(table):
         import numpy as np
@@ -140,30 +142,31 @@ def _ranked(percent: int):
         names, first, which = np.unique(ref, return_index=True, return_inverse=True)
         size, owner = n[first].astype(np.int64), np.repeat(which, count)
         shared = np.bincount(owner, minlength=len(names))
+        hub = (np.bincount(owner, weights=sets, minlength=len(names)) * 1000 / size).astype(np.int64)
         order = np.lexsort((keys, sets, owner))
         keys, ends = keys[order].astype("<u8"), np.cumsum(shared)
         kept = np.flatnonzero(shared * 100 >= percent * size)
         rows = [keys[ends[i] - shared[i] : ends[i]].tobytes() for i in kept.tolist()]
-        return pa.table({"ref": pa.array(names[kept].view(np.int64)), "n": pa.array(size[kept]), "unshared": pa.array((size - shared)[kept]), "keys": pa.array(rows, pa.binary())})
+        return pa.table({"ref": pa.array(names[kept].view(np.int64)), "n": pa.array(size[kept]), "unshared": pa.array((size - shared)[kept]), "hub": pa.array(hub[kept]), "keys": pa.array(rows, pa.binary())})
 
     return run
 
 
 def _prefix(percent: int):
-    """key, ref, n, at: the indexed part of each set's prefix; at counts from 0 in the set's order."""
+    """key, ref, n, at, hub: the indexed part of each set's prefix; at counts from 0 in the set's order."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            ref, n, unshared = (batch.column(i).to_numpy() for i in range(3))
+            ref, n, unshared, hub = (batch.column(i).to_numpy() for i in range(4))
             k = np.maximum(n - (percent * n + 99) // 100 + 1 - unshared, 0)
             if not k.sum():
                 continue
-            keys = np.concatenate([np.frombuffer(x, "<i8", c) for x, c in zip(batch.column(3).to_pylist(), k.tolist())])
+            keys = np.concatenate([np.frombuffer(x, "<i8", c) for x, c in zip(batch.column(4).to_pylist(), k.tolist())])
             at = np.arange(len(keys)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(unshared, k)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ref, k)), pa.array(np.repeat(n, k)), pa.array(at)], names=["key", "ref", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ref, k)), pa.array(np.repeat(n, k)), pa.array(at), pa.array(np.repeat(hub, k))], names=["key", "ref", "n", "at", "hub"])
 
     return run
 
@@ -219,11 +222,11 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         _release(spark)
         members = counted.filter(F.col("blob").isNull()).select("doc_id", "h", "n", "ref")
         sets = scratch.save(counted.filter(F.col("blob").isNotNull()).select("bucket", "blob").groupBy("bucket").applyInArrow(_ranked(percent), SETS), "sets")
-        prefix = scratch.save(sets.mapInArrow(_prefix(percent), "key long, ref long, n long, at long"), "prefix")
+        prefix = scratch.save(sets.mapInArrow(_prefix(percent), "key long, ref long, n long, at long, hub long"), "prefix")
         _release(spark)
 
-        # one pivot for each n-gram
-        pivot = prefix.groupBy("key").agg(F.min(F.struct("ref", "n", "at")).alias("p"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
+        # one pivot for each n-gram: the set most like the others
+        pivot = prefix.groupBy("key").agg(F.max(F.struct("hub", "ref", "n", "at")).alias("p"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
         met = prefix.join(pivot, "key").filter(F.col("ref") != F.col("p.ref"))
         pairs = met.filter(_passes(percent, F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at"))).select(F.col("p.ref").alias("a"), F.col("ref").alias("b")).distinct()
         links = scratch.save(_links(pairs, sets, percent), "links1")

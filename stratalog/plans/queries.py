@@ -1,24 +1,25 @@
 """Queries of the key-value operators over entry logs made from the given tables, with their SQL.
 
 The main log is made of ``orders``: every order is put, a third overwritten, a tenth deleted. Keys and values are emitted as
-text. Order is exposed as ``pos``, because results are compared as sets; ranks over all rows are taken from range-partitioned
-counts (see ``_pos``), not in one task.
+text. Order is exposed as ``pos``, because results are compared as sets; ranks over all rows come from ranks within key
+prefixes and the prefixes' sizes (see ``_pos``), not from one task.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..database import Database
 from ..functions import bigint_key, decode_bigint, decode_text, padded_key, text_key
-from ..model import DELETE, PUT, Params, StartMode
+from ..model import DELETE, PUT, InvalidParams, Params, StartMode, WriteBatch
 from ..operators import batch, compaction, scans, values
 from ..operators.resolve import latest, live
-from ..sources.manifest import tables_frame
+from ..sources.manifest import Manifest, tables_frame
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,16 +54,14 @@ def _text(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(decode_text("key").alias("key"), decode_text("value").alias("value"), *more)
 
 
-def _pos(rows: DataFrame, reverse: bool = False) -> DataFrame:
-    """Adds pos, the place in key order from 1. Rows are range-partitioned by key; ranks count within a partition, and the partitions before add their sizes."""
-    from pyspark.sql import Window
-
-    by = F.col("key").desc() if reverse else F.col("key")
-    parted = rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parted.withColumn("_own", within).join(F.broadcast(before), "_part").withColumn("pos", (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+def _pos(rows: DataFrame, reverse: bool = False, width: int = 10) -> DataFrame:
+    """Adds pos, the place in key order from 1. Rows rank within their key's first ``width`` bytes (here ten thousand keys at most), and the prefixes before add their sizes; only the sizes meet in one task."""
+    order = (lambda c: F.col(c).desc()) if reverse else F.col
+    split = rows.withColumn("_prefix", F.substring("key", 1, width))
+    sizes = split.groupBy("_prefix").agg(F.count("*").alias("_n"))
+    before = sizes.select("_prefix", F.coalesce(F.sum("_n").over(Window.orderBy(order("_prefix")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_prefix").orderBy(order("key")))
+    return split.withColumn("_own", within).join(before, "_prefix").withColumn("pos", (F.col("_own") + F.col("_before")).cast("long")).drop("_prefix", "_own", "_before")
 
 
 def live_scan(spark, sf_dir):
@@ -180,8 +179,6 @@ LINES = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedp
 
 def batch_same_key_last_wins(spark, sf_dir):
     """Many operations on one key; the last in the order of all columns wins. Keys are signed integers."""
-    from pyspark.sql import Window
-
     rows = _read(spark, sf_dir, "lineitem").select(*LINES.split(", "))
     order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINES.split(", ")[1:]))
     value = F.concat_ws("|", "l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
@@ -248,15 +245,17 @@ def trivial_move_layout(spark, sf_dir):
 
 def table_pruning(spark, sf_dir):
     """Tables whose closed range meets [order_00000250, order_00000450]."""
-    from ..sources.manifest import Manifest
-
     kept = compaction.prune(_disjoint(spark, sf_dir), b"order_00000250", b"order_00000450")
     return tables_frame(spark, Manifest(tables=tuple(kept))).select("table_id", decode_text("min_key").alias("min_key"), decode_text("max_key").alias("max_key"), "num_entries")
 
 
 def _store(spark: SparkSession, **more) -> Database:
-    """A store in the shared folder, or in a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    """A store in the shared folder; a local session may leave that unset and gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise InvalidParams("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp()}"
     return Database(spark, StartMode.CREATE_OR_OVERRIDE, Params(path=f"{shared}/store-{uuid.uuid4().hex[:12]}", **more))
 
 
@@ -278,8 +277,6 @@ def flush_reopen_scan(spark, sf_dir):
 def wal_replay_scan(spark, sf_dir):
     """Small batches of the log's first keys that stay in log and memtable, recovered by replay."""
     db = _store(spark)
-    from ..model import WriteBatch
-
     nation = _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows at any size
     put, change = WriteBatch(), WriteBatch()
     for r in nation:

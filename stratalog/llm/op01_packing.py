@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, documents, shuffle_partitions
-from .tokens import default_path, encoder, pieces, texts
+from .tokens import default_path, encoder, forget, pieces, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = "kind string, size long, lo long, n long, bin_lo long, per_bin long, offset long"
@@ -44,6 +44,7 @@ def _cut(path: str, capacity: int):
             out = [(d, *p) for d, x in zip(batch.column(0).to_pylist(), rows) for p in pieces(encode(x), capacity)]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget()
 
     return run
 

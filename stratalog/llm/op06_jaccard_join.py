@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, documents, fresh, shuffle_partitions
+from .common import Scratch, arrow_batches, documents, fresh, give_back, shuffle_partitions
 from .components import components
 
 POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
@@ -82,10 +82,25 @@ def _post(size: int, buckets: int):
                     for col, x in zip(out, (int(to[a]), None, None, None, None, _pack(refs[once[who]], n[once[who]], count, keys[a:b]))):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "doc_id", "h", "n", "ref", "blob"])
+        give_back()
 
     return run
 
 
+def _in_two_sets(keys, owner):
+    """(key, owner, number of its sets) of postings without repeats whose key stands in two sets or more, by key."""
+    import numpy as np
+
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    keys, owner = keys[fresh], owner[fresh]
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    sets = np.repeat(np.diff(edge), np.diff(edge)).astype(np.uint32)
+    return keys[sets > 1], owner[sets > 1], sets[sets > 1]
+
+
 def _shared(buckets: int):
     """A bucket's postings: those of n-grams in two sets or more, packed for each bucket of references."""
 
@@ -94,6 +109,7 @@ def _shared(buckets: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        give_back()
         blobs = table.column("blob").drop_null().to_pylist()
         docs = table.filter(pc.is_null(table.column("blob")))
         del table
@@ -103,14 +119,10 @@ def _shared(buckets: int):
             ref, n, count, keys = (np.concatenate(x) for x in zip(*parts))
             del parts, blobs
             names, first, which = np.unique(ref, return_index=True, return_inverse=True)
-            sizes, owner = n[first], np.repeat(which.astype(np.uint32), count)
-            order = np.lexsort((owner, keys))
-            keys, owner = keys[order], owner[order]
-            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
-            keys, owner = keys[fresh], owner[fresh]
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-            sets = np.repeat(np.diff(edge), np.diff(edge))
-            keys, owner, sets = keys[sets > 1], owner[sets > 1], sets[sets > 1]
+            sizes, owner = n[first].copy(), np.repeat(which.astype(np.uint32), count)
+            found = [_in_two_sets(keys[own], owner[own]) for own in (np.flatnonzero(keys >> np.uint64(61) == q) for q in range(8))]  # eighths, to sort less at once
+            keys, owner, sets = (np.concatenate(x) for x in zip(*found))
+            del found, which, ref, n, count
             to = names[owner] % np.uint64(buckets)
             order = np.lexsort((owner, to))
             keys, owner, sets, to = keys[order], owner[order], sets[order], to[order]

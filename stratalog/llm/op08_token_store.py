@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, arrow_batches, documents
-from .tokens import default_path, encoder, texts
+from .tokens import default_path, encoder, forget, texts
 
 STORED = T.StructType(
     [
@@ -46,6 +46,7 @@ def _tokenise(path: str):
             column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + ends - lengths), pa.array(lengths), column], names=STORED.names)
             start += int(ends[-1])
+        forget()
 
     return run
 

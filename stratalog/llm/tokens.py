@@ -1,7 +1,7 @@
 """Token ids of whole texts with the ``tokenizers`` library, fast enough for a corpus.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its white-space words in
-order. Words repeat; each worker keeps the ids of the words it has met (a bounded cache). A new word
+order. Words repeat; each task keeps the ids of the words it has met (a bounded cache). A new word
 of plain letters, digits and punctuation is split by the tokenizer's own rule and its pieces go to the library's BPE
 model directly; any other word goes through the library's whole ``encode``.
 """
@@ -14,6 +14,8 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+from .common import give_back
+
 END_ID = 1
 #: Words longer than this are encoded but not kept; words up to SHORT bytes are kept in every spelling.
 LONGEST_KEPT, SHORT, MOST_WORDS = 48, 8, 800_000
@@ -100,6 +102,14 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     return encode
 
 
+def forget() -> None:
+    """Empties the caches at the end of a task, so that the worker's next one has the memory."""
+    for words in _kept.values():
+        words.clear()
+        words.old = {}
+    give_back()
+
+
 def pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids cut at every ``capacity``."""
     step = 4 * capacity

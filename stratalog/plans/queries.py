@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,10 +113,19 @@ def last_n(spark, sf_dir):
     return _text(scans.first_n(live(order_log(spark, sf_dir)), 20, reverse=True))
 
 
+def _sparse_log(spark, sf_dir) -> DataFrame:
+    """Puts of all orders, then deletions of all but o_orderkey % 250 = 0: live keys stand far apart, with deletions in the gaps."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    k = F.col("o_orderkey")
+    put = F.struct(k.cast("long").alias("seq"), F.lit(PUT).alias("op"), F.col("o_orderstatus").alias("v"))
+    gone = F.when(k % 250 != 0, F.struct((k + 1_000_000_000).cast("long").alias("seq"), F.lit(DELETE).alias("op"), F.lit(None).cast("string").alias("v")))
+    rows = o.select("o_orderkey", F.explode(F.filter(F.array(put, gone), lambda x: x.isNotNull())).alias("c"))
+    return _entries(rows, padded_key("order_", "o_orderkey", 8), F.col("c.seq"), F.col("c.op"), F.col("c.v"))
+
+
 def sparse_range(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").filter("o_orderkey % 250 = 0")
-    log = _entries(o, padded_key("order_", "o_orderkey", 8), F.col("o_orderkey"), PUT, F.col("o_orderstatus"))
-    return _text(_pos(scans.range_scan(log, b"order_00000000", b"order_00001250")), "pos")
+    """The range's live keys. Its bounds are those of the SQL and do not grow with the table."""
+    return _text(_pos(scans.range_scan(_sparse_log(spark, sf_dir), b"order_00000000", b"order_00001250")), "pos")
 
 
 def overlapping_ranges(spark, sf_dir):
@@ -225,11 +235,18 @@ def merge_with_child(spark, sf_dir):
     return _physical(compaction.merge(_slices(spark, sf_dir).unionByName(child)))
 
 
+def _tables(orders: DataFrame, part) -> Iterator[compaction.Table]:
+    """Manifest rows (a row for each table) of all orders cut into disjoint key ranges by ``part``, one partition at a time."""
+    rows = orders.select(padded_key("order_", "o_orderkey", 8).alias("key"), part.cast("long").alias("t")).groupBy("t").agg(F.min("key"), F.max("key"), F.count("*"))
+    for r in rows.toLocalIterator():
+        yield compaction.Table(r[0] + 1, 0, bytes(r[1]), bytes(r[2]), r[3], 14 * r[3], "")
+
+
 def _disjoint(spark, sf_dir) -> list[compaction.Table]:
-    """Ten tables by key range of the orders, as manifest rows (a row for each table)."""
-    o = _read(spark, sf_dir, "orders").select(padded_key("order_", "o_orderkey", 8).alias("key"), F.floor((F.col("o_orderkey") - 1) / 100).alias("t")).filter("t >= 0 AND t < 10")
-    rows = o.groupBy("t").agg(F.min("key"), F.max("key"), F.count("*")).orderBy("t").collect()
-    return [compaction.Table(r[0] + 1, 0, bytes(r[1]), bytes(r[2]), r[3], 14 * r[3], "") for r in rows]
+    """Ten tables by key range, of equal width between the least and the greatest key, that hold all orders."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey")
+    low, high = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return [] if low is None else list(_tables(o, F.floor((F.col("o_orderkey") - low) * 10 / (high - low + 1))))
 
 
 def trivial_move_layout(spark, sf_dir):
@@ -243,9 +260,14 @@ def trivial_move_layout(spark, sf_dir):
     return spark.createDataFrame(out, "step int, level int, n_tables long")
 
 
+def _hundreds(spark, sf_dir) -> Iterator[compaction.Table]:
+    """Tables of a hundred keys each that hold all orders; their number grows with the orders."""
+    return _tables(_read(spark, sf_dir, "orders").select("o_orderkey"), F.floor((F.col("o_orderkey") - 1) / 100))
+
+
 def table_pruning(spark, sf_dir):
-    """Tables whose closed range meets [order_00000250, order_00000450]."""
-    kept = compaction.prune(_disjoint(spark, sf_dir), b"order_00000250", b"order_00000450")
+    """Of all orders' tables, those whose closed range meets [order_00000250, order_00000450]; only these stay on the driver."""
+    kept = compaction.prune(_hundreds(spark, sf_dir), b"order_00000250", b"order_00000450")
     return tables_frame(spark, Manifest(tables=tuple(kept))).select("table_id", decode_text("min_key").alias("min_key"), decode_text("max_key").alias("max_key"), "num_entries")
 
 

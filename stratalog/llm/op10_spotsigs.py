@@ -2,9 +2,11 @@
 
 Where a common word (an anchor) is followed by content words, the anchor and the next two content words, common words
 between them left out, make a spot signature; of anchors in a row the last one counts. A text's fingerprint is the sorted
-set of its signatures' 32-bit hashes, eight hexadecimal digits each. A text without spots takes its words instead, so that
-only texts without words have an empty fingerprint. Likeness is the Jaccard coefficient of two sets (1 for equal
-fingerprints, 0 if one alone is empty).
+set of its signatures' 32-bit hashes, eight hexadecimal digits each. Words far from any spot are signatures themselves: those
+more than 16 words away, or than ``900 (spots / words)^2`` if that is less, distinct spots and words counted. In prose spots
+lie closer together; the fewer spots a text has, the more of its words count, and without spots all do. Only texts without
+words have an empty fingerprint. Likeness is the Jaccard coefficient of two sets (1 for equal fingerprints, 0 if one alone is
+empty).
 
 ``near_duplicates`` partitions sets by length, so that only neighbouring partitions can reach the threshold, indexes a
 prefix of each set, and compares candidates by Jaccard, pruned by the lengths and the positions where they meet.
@@ -35,6 +37,8 @@ ANCHORS = sorted(
 )
 #: Content words of a chain.
 CHAIN = 2
+#: How far a spot stands for the words around it: REACH times the square of the share of spots among words, FAR at most.
+REACH, FAR = 900, 16
 SET = "array<bigint>"
 
 
@@ -50,9 +54,20 @@ def spots(text: Column) -> Column:
     def chains(w: Column, c: Column) -> Column:
         after = lambda k: F.get(c, k) > F.coalesce(F.get(c, k - 1), F.lit(-1)) + 1
         starts = F.filter(F.sequence(F.lit(0), F.size(c) - CHAIN), after)
+        return let(F.when(F.size(c) >= CHAIN, starts).otherwise(F.array().cast("array<int>")), lambda s: marks(w, c, s))
+
+    def marks(w: Column, c: Column, s: Column) -> Column:
         chain = lambda k: number(F.get(w, F.get(c, k) - 1), *[F.get(w, F.get(c, k + j)) for j in range(CHAIN)])
-        made = F.when(F.size(c) >= CHAIN, F.transform(starts, chain)).otherwise(none)
-        return let(made, lambda m: F.when(F.size(m) > 0, m).otherwise(F.transform(w, lambda x: number(x))))
+        reach = lambda m: F.least(F.lit(FAR), F.floor(REACH * F.pow(F.size(m) / F.size(F.array_distinct(w)), F.lit(2.0))).cast("int"))
+        return let(F.array_distinct(F.transform(s, chain)), lambda m: F.concat(m, let(reach(m), lambda r: far(w, c, s, r))))
+
+    def far(w: Column, c: Column, s: Column, r: Column) -> Column:
+        def gap(j: Column) -> Column:
+            low, high = F.get(c, F.get(s, j - 1) + (CHAIN - 1)) + 1 + r, F.get(c, F.get(s, j)) - 2 - r
+            low, high = F.coalesce(low, F.lit(0)), F.coalesce(high, F.size(w) - 1)
+            return F.when(low <= high, F.transform(F.sequence(low, high), lambda i: number(F.get(w, i)))).otherwise(none)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(s)), gap))
 
     return F.sort_array(F.array_distinct(let(words(text), lambda w: F.when(F.size(w) == 0, none).otherwise(of(w)))))
 

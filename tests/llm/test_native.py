@@ -155,6 +155,15 @@ def test_spotsigs(spark, empty):
     assert one.near_next == 1.0 and one.near_edited == pytest.approx(jaccard(spots("the same old text"), spots("the same the same")))
 
 
+def test_spotsigs_of_texts_with_few_spots(spark):
+    row = lambda n: " | ".join(f"w{n}x{i}" for i in range(100))
+    texts = [f"{row(0)} the big house", f"{row(1)} the big house", f"{row(0)} the big house", row(2), " ".join(f"the w{i} v{i} of z{i}" for i in range(50))]
+    got = {r.doc_id: r for r in spot.compare(frame(spark, texts)).collect()}
+    assert got[0].fingerprint == got[2].fingerprint != got[1].fingerprint and got[0].near_next < 0.1
+    assert 0.3 < got[0].near_edited < 0.7 and len(got[0].fingerprint) > 8 * 90 and len(got[3].fingerprint) == 8 * 100
+    assert len(got[4].fingerprint) == 8 * len(spots(texts[4]))  # prose with spots all along has nothing but spots
+
+
 def test_spotsigs_near_duplicates(docs, rows, empty):
     got = {(r.doc_id, r.n_spots): r.component_id for r in spot.near_duplicates(docs).collect()}
     sets = [(d, spots(t)) for d, t in rows if d is not None]

@@ -10,7 +10,7 @@ is below a threshold, so any input size gives as many); whole texts count, each
 text alone, all of it.
 
 Edge cases: null text, or one without any letter, is ``und`` with score 0; an unlabelled or empty training set makes
-everything ``und``; a single language is predicted with score 1; rows with equal doc_id are judged each; a null doc_id
+everything ``und``, but ``keep_identified`` then keeps every text with a letter; a single language is predicted with score 1; rows with equal doc_id are judged each; a null doc_id
 counts as the text "" in the fold; other columns are ignored.
 """
 
@@ -170,8 +170,11 @@ def _filter(model: Model, schema):
         at = [f.name for f in schema].index("text")
         for batch in batches:
             if batch.num_rows:
-                found = [model.decode(t) for t in batch.column(at).to_pylist()]
-                keep = [x[0] != UNKNOWN for x in found]
+                texts = batch.column(at).to_pylist()
+                if model.languages:
+                    keep = [model.decode(t)[0] != UNKNOWN for t in texts]
+                else:  # nothing was learned, so nothing can be told apart but texts without letters
+                    keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -4,6 +4,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm import op02_language_id as lid
 from stratalog.llm import op07_sharding as shard
@@ -32,6 +33,11 @@ def test_language_edge_cases(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len([1 for _, t in rows if t and re.search(r"[^\W\d_]", t)])
 
 
+def test_no_model_keeps_texts_with_letters(docs, rows):
+    kept = lid.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns and kept.count() == len([1 for _, t in rows if t and re.search(r"[^\W\d_]", t)])
+
+
 @pytest.mark.parametrize("k", [2, 3, 5, 9, 30])
 def test_codewords_are_apart(k):
     code = lid.codewords(k)

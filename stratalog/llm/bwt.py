@@ -47,6 +47,8 @@ def boundaries(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     prefixes come out by increasing value, and the expansion stops before ``length``. Symbol 0 separates and is only the
     last of a string."""
     n = len(symbols)
+    if _BITS + 2 * n.bit_length() > 63:
+        raise ValueError("too many symbols for one transform")  # owner, symbol and row share one integer
     order = suffix_order(symbols, length)
     before = np.where(order > 0, symbols[order - 1], 0).astype(np.int16)
     last_first = np.empty(n, np.int64)

@@ -66,12 +66,12 @@ def _clean() -> None:
         try:
             scratch.drop()
         except Exception:  # the session may be gone; the cluster's own cleaning takes what is left
-            return
+            continue
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 2000, mb: int = 32) -> Iterator[None]:
-    """Bounds what a Python worker gets at once while tables are written inside this block."""
+def arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> Iterator[None]:
+    """Bounds what a Python worker gets at once while tables are written inside this block (a plan takes the bounds of when it runs)."""
     bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20)}
     before = {k: spark.conf.get(k, None) for k in bounds}
     for k, v in bounds.items():
@@ -83,6 +83,28 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, mb: int = 32) -> Iterat
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def ending(run):
+    """The same function over batches, which returns the worker's memory to the system when its task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def partitions_for(df: DataFrame) -> int:
+    """How many partitions a scan of as many bytes would have, by the plan's statistics; the shuffle's number where these say nothing."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, -(-size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())) if size < 1 << 60 else shuffle_partitions(spark)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -111,14 +111,8 @@ def test_repeated_strings():
         assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
 
 
-@pytest.mark.parametrize("length", [100, 30])
-def test_suffix_dedup(spark, rows, empty, length):
-    base = "abcdefghij klmnop qrst" * 20
-    own = [r for r in rows if r[0] not in (None, 904)]
-    own += [(10**6, "a" * 1000), (10**6 + 1, "a" * 99), (10**6 + 4, base), (10**6 + 5, "x" + base[3:200] + "y" + base[5:]), (10**6 + 6, "é" * 300), (10**6 + 7, "z" * 100 + base)]
-    df = spark.createDataFrame(own, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, length).collect()}
-    seen = set()
+def kept_by_brute_force(own, length):
+    seen, want = set(), {}
     for d, t in sorted(own):
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -127,8 +121,50 @@ def test_suffix_dedup(spark, rows, empty, length):
                 gone[i : i + length] = b"\1" * length
             seen.add(b[i : i + length])
         runs = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b)))
-        assert got[d] == (len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()), d
-    assert remove_repeats(empty).count() == 0
+        want[d] = (len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    return want
+
+
+def kept(spark, own, *more):
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(5)
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, *more).collect()}
+
+
+@pytest.mark.parametrize("length", [100, 30, 16, 135, 136, 300])
+def test_suffix_dedup(spark, rows, empty, length):
+    base = "abcdefghij klmnop qrst" * 20
+    own = [r for r in rows if r[0] not in (None, 904)]
+    own += [(10**6, "a" * 1000), (10**6 + 1, "a" * 99), (10**6 + 4, base), (10**6 + 5, "x" + base[3:200] + "y" + base[5:]), (10**6 + 6, "é" * 300), (10**6 + 7, "z" * 100 + base)]
+    assert kept(spark, own, length) == kept_by_brute_force(own, length)
+    assert remove_repeats(empty, length).count() == 0
+
+
+@pytest.mark.parametrize("hot", [None, 8])
+def test_one_very_common_anchor(spark, hot, monkeypatch):
+    """Many documents share one line in unlike surroundings; with hot = 8 its contexts are sent window by window."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 9)))
+    line, edge = " ".join(word() for _ in range(14)), [word() for _ in range(4)]
+    own = [(i, " ".join([word() for _ in range(rnd.randrange(30))] + [rnd.choice(edge), line, rnd.choice(edge)] + [word() for _ in range(rnd.randrange(30))])) for i in range(400)]
+    want = kept_by_brute_force(own, 100)
+    assert kept(spark, own, 100, hot) == want and sum(w[1] > 0 for w in want.values()) > 100
+
+
+def test_copies_are_one_document(spark):
+    """Rows with equal doc_id and text have one result, also if they fall into different blocks."""
+    rnd = random.Random(2)
+    text = lambda: "".join(rnd.choice("abcd") for _ in range(400))
+    first, other = text(), text()
+    own = [(5, first + other), (3, first), (5, first + other), (5, first + other), (9, other + first)]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_removed) for r in remove_repeats(df).collect())
+    assert got == [(3, 0), (5, 400), (5, 400), (5, 400), (9, 800)]
+
+
+@pytest.mark.parametrize("length", [15, 0, -1, 40_000])
+def test_lengths_that_are_refused(spark, empty, length):
+    with pytest.raises(ValueError):
+        remove_repeats(empty, length)
 
 
 def test_suffix_dedup_of_odd_rows(docs, rows):

@@ -84,3 +84,71 @@ def test_sql(spark, sf_dir, name):
     assert sorted(got.columns) == columns
     text = lambda f: sorted(map(str, f[columns].itertuples(index=False, name=None)))
     assert text(got) == text(want)
+
+
+def features(text):
+    n = np.bincount(np.concatenate(list(lid.trigrams(text))), minlength=lid.BINS)
+    own = np.flatnonzero(n)
+    return own.astype("<u2").tobytes() + n[own].astype("<f4").tobytes()
+
+
+def plain_decode(rows, text):
+    """The same method word by word of its description, in loops over bits and languages."""
+    languages = sorted({x for x, _ in rows})
+    code = lid.codewords(len(languages))
+    count = {x: [0.0] * lid.BINS for x in languages}
+    for x, t in rows:
+        own = np.bincount(np.concatenate(list(lid.trigrams(t))), minlength=lid.BINS)
+        for i in np.flatnonzero(own):
+            count[x][i] += own[i] / own.sum()
+    share = np.array([count[x] for x in languages]) + 1e-7
+    share = np.array([s / s.sum() for s in share])
+    share = np.array([0.98 * s + 0.02 * share.mean(0) for s in share])
+    scales, sure, weights = [], [], []
+    for bit in range(code.shape[1]):
+        yes, no = (np.mean([s for s, c in zip(share, code[:, bit]) if c == side], axis=0) for side in (1, -1))
+        w = np.log(yes) - np.log(no)
+        signed = []
+        for x, t in rows:
+            bins = np.concatenate(list(lid.trigrams(t)))
+            signed.append(code[languages.index(x), bit] * w[bins].sum() / np.sqrt(len(bins)))
+        scale = 1.0
+        for _ in range(100):
+            p = [1 / (1 + np.exp(-np.clip(s * scale, -30, 30))) for s in signed]
+            scale += 0.5 * np.mean([(1 - a) * s for a, s in zip(p, signed)]) / (np.mean(np.abs(signed)) ** 2 + 1e-9)
+        scales.append(min(20, max(0.05, scale)))
+        sure.append(max(0.02, np.mean([s > 0 for s in signed]) - 0.5))
+        weights.append(w)
+    bins = np.concatenate(list(lid.trigrams(text)))
+    loss = []
+    for i in range(len(languages)):
+        z = [np.clip(code[i, b] * scales[b] * weights[b][bins].sum() / np.sqrt(len(bins)), -30, 30) for b in range(code.shape[1])]
+        loss.append(sum(np.log1p(np.exp(-x)) * q / sum(sure) for x, q in zip(z, sure)) * code.shape[1])
+    best = int(np.argmin(loss))
+    return languages[best], 1 / sum(np.exp(loss[best] - x) for x in loss)
+
+
+def test_decoding_against_a_plain_version(rows):
+    texts = [(("en", "de", "fr")[i % 3], t + f" q{i % 3}x" * 9) for i, (d, t) in enumerate(rows) if d is not None and d < 30]
+    model = lid.Model([(x, features(t)) for x, t in texts])
+    for _, t in [*texts[:6], ("", "q0x q0x q1x"), ("", "nothing of it at all")]:
+        want, score = plain_decode(texts, t)
+        assert model.decode(t)[0] == want and model.decode(t)[1] == pytest.approx(score, rel=1e-3, abs=1e-6)
+
+
+def test_training_on_executors_is_training_on_the_driver(spark, docs):
+    known = [(r.lang, r.text) for r in docs.collect() if r.lang and r.text and zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 3 != 1]
+    here, there = lid.Model([(x, features(t)) for x, t in known]), lid.train(docs)
+    assert here.languages == there.languages and (here.texts == there.texts).all() and there.limit == pytest.approx(here.limit)
+    assert here.weights == pytest.approx(there.weights, abs=1e-3) and here.scale == pytest.approx(there.scale, rel=1e-2)
+    few = lid.train(docs, most=5)
+    assert few.texts.max() <= 15 and set(few.languages) <= set(here.languages)
+
+
+def test_foreign_texts_go_and_clean_ones_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    odd = [(-1, "日本語のテキストはここにあります。" * 4), (-2, "".join(chr(0x4E00 + 37 * i % 20000) for i in range(200))), (-3, "?? 12 --"), (-4, "ok")]
+    more = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in lid.keep_identified(more).select("doc_id").collect()}
+    want = {r.doc_id for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+    assert kept == want | {-4}

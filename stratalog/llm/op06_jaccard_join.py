@@ -25,11 +25,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, documents, fresh, give_back, shuffle_partitions
+from .common import Scratch, arrow_batches, documents, ending, fresh, give_back, text_bytes
 from .components import components
 
 POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
 SETS = "ref long, n long, unshared long, hub long, keys binary"
+#: Bytes of text for each bucket: postings take about as many, so a bucket's size does not grow with the input.
+BUCKET = 8 << 20
 
 
 def _pack(ref, n, count, keys) -> bytes:
@@ -82,9 +84,8 @@ def _post(size: int, buckets: int):
                     for col, x in zip(out, (int(to[a]), None, None, None, None, _pack(refs[once[who]], n[once[who]], count, keys[a:b]))):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "doc_id", "h", "n", "ref", "blob"])
-        give_back()
 
-    return run
+    return ending(run)
 
 
 def _in_two_sets(keys, owner):
@@ -109,7 +110,6 @@ def _shared(buckets: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        give_back()
         blobs = table.column("blob").drop_null().to_pylist()
         docs = table.filter(pc.is_null(table.column("blob")))
         del table
@@ -132,6 +132,7 @@ def _shared(buckets: int):
                 out[0].append(int(to[a]))
                 out[1].append(_pack(names[who], sizes[who], k, keys[a:b]) + sets[a:b].astype("<u4").tobytes())
         k = len(out[0])
+        give_back()
         more = pa.table({"bucket": pa.array(out[0], pa.int32()), "doc_id": pa.nulls(k, pa.int64()), "h": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "ref": pa.nulls(k, pa.int64()), "blob": pa.array(out[1], pa.binary())})
         return pa.concat_tables([docs.select(more.column_names).cast(more.schema), more])
 
@@ -159,6 +160,8 @@ def _ranked(percent: int):
         keys, ends = keys[order].astype("<u8"), np.cumsum(shared)
         kept = np.flatnonzero(shared * 100 >= percent * size)
         rows = [keys[ends[i] - shared[i] : ends[i]].tobytes() for i in kept.tolist()]
+        del ref, n, count, sets, which, owner, order, keys
+        give_back()
         return pa.table({"ref": pa.array(names[kept].view(np.int64)), "n": pa.array(size[kept]), "unshared": pa.array((size - shared)[kept]), "hub": pa.array(hub[kept]), "keys": pa.array(rows, pa.binary())})
 
     return run
@@ -180,7 +183,7 @@ def _prefix(percent: int):
             at = np.arange(len(keys)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(unshared, k)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ref, k)), pa.array(np.repeat(n, k)), pa.array(at), pa.array(np.repeat(hub, k))], names=["key", "ref", "n", "at", "hub"])
 
-    return run
+    return ending(run)
 
 
 def _verify(percent: int):
@@ -201,7 +204,7 @@ def _verify(percent: int):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int32())), batch.column(1).take(pa.array(good, pa.int32()))], names=["a", "b"])
 
-    return run
+    return ending(run)
 
 
 def _passes(percent: int, na, nb, at_a, at_b):
@@ -227,13 +230,14 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
     Two documents link when 100 * intersection >= percent * union of their n-gram sets."""
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark, "jaccard"), shuffle_partitions(spark)
+    scratch, buckets = Scratch(spark, "jaccard"), max(1, -(-text_bytes(docs) // BUCKET))
     with arrow_batches(spark):
         posted = documents(docs, F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(_post(size, buckets), POSTED)
         counted = scratch.save(posted.groupBy("bucket").applyInArrow(_shared(buckets), POSTED), "counted")
         _release(spark)
-        members = counted.filter(F.col("blob").isNull()).select("doc_id", "h", "n", "ref")
+        members = scratch.save(counted.filter(F.col("blob").isNull()).select("doc_id", "h", "n", "ref"), "members")
         sets = scratch.save(counted.filter(F.col("blob").isNotNull()).select("bucket", "blob").groupBy("bucket").applyInArrow(_ranked(percent), SETS), "sets")
+        scratch.drop("counted")
         prefix = scratch.save(sets.mapInArrow(_prefix(percent), "key long, ref long, n long, at long, hub long"), "prefix")
         _release(spark)
 
@@ -253,6 +257,8 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         right = named.select("key", F.col("ref").alias("b"), F.col("n").alias("lb"), F.col("at").alias("at_b"), F.col("comp").alias("cb"))
         cross = left.join(right, "key").filter((F.col("ca") < F.col("cb")) & _passes(percent, F.col("la"), F.col("lb"), F.col("at_a"), F.col("at_b")))
         more = scratch.save(_links(cross.select("a", "b").distinct(), sets, percent), "links2")
+        for done in ("prefix", "mixed", "sets"):
+            scratch.drop(done)
         _release(spark)
         if not more.isEmpty():
             comps = components(more, scratch, "second", known=comps)
@@ -289,7 +295,9 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     twice = found.filter("keeper").groupBy("doc_id", "h").count().filter("count > 1").select(*named)
     if twice.isEmpty():
         return left
-    once = left.join(twice, same).dropDuplicates([id_, h_]).select(*docs.columns)
+    # rows that differ in other columns alone: the first in the order of these, written out
+    nth, spelled = fresh(docs, "nth"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = left.join(twice, same).withColumn(nth, F.row_number().over(Window.partitionBy(id_, h_).orderBy(spelled))).filter(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])
     return left.join(twice, same, "left_anti").unionByName(once)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_batches, documents
+from .common import Scratch, arrow_batches, documents, give_back
 from .tokens import default_path, encoder, forget, texts
 
 STORED = T.StructType(
@@ -99,11 +99,14 @@ def _checksum(batches: Iterator) -> Iterator:
             crc = [zlib.crc32(values[a:b]) for a, b in zip(at, at[1:])]
             lengths = np.diff(np.asarray(ids.offsets)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def summarise(store: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what the files hold. The broadcast side has one row for each written partition."""
-    rows = store.select("doc_id", "part", "part_start", "ids").mapInArrow(_checksum, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    with arrow_batches(store.sparkSession):
+        rows = store.select("doc_id", "part", "part_start", "ids").mapInArrow(_checksum, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+        rows = Scratch(store.sparkSession, "store").save(rows, "sums")
     return rows.join(F.broadcast(part_offsets(store)), "part").select("doc_id", (F.col("part_offset") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -4,17 +4,18 @@ A benchmark item is the set of its windows (``window`` consecutive words; a shor
 sequence of its word shingles. Containment of a whole window needs all of its shingles, so its necessary prefix is one:
 the rarest. The join runs in these steps:
 
-1. One scan of the documents keeps every place where a shingle of the benchmark stands, with the words around it.
+1. One scan of the documents finds every place where a shingle of the benchmark stands, whatever the shingle's size.
 2. Shingles are ordered by how often they stand in all documents (ties by hash); each window keeps the rarest.
 3. Places join windows on that shingle; positional and length bounds drop windows that would start before the first or
    end after the last word.
 4. The window's words are compared with the document's, so that a hash can't decide.
 
-The benchmark's shingles and windows are broadcast if they are few (checked), else joined by a shuffle.
+A benchmark of few shingles and windows (counted) is broadcast, and a place takes the words around it along for step 4. A larger one
+is joined by a shuffle of bare places (document, position, hash); the windows that are left then go to their documents.
 
 Edge cases: null or empty text has no words and is never hit; an item without words has no window; windows that several
-items share count for each; rows with equal doc_id are judged each; a null doc_id is kept; an empty benchmark hits
-nothing; empty documents give no rows; other columns of the inputs are ignored.
+items share count for each; rows with equal doc_id are judged each by their own text; a null doc_id is kept; an empty
+benchmark hits nothing; empty documents give no rows; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, fresh, words
+from .common import Scratch, documents, fresh, let, words
 
 #: Words of a shingle; a window of fewer words is one shingle.
 SHINGLE = 4
@@ -42,12 +43,25 @@ def windows(benchmark: DataFrame, window: int) -> DataFrame:
     return each.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("words"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+#: What a row is known by: its id and two hashes of its text. Rows that share all three have one result.
+KEY = ("doc_id", "h1", "h2")
+HITS, ITEMS = "array<struct<start:int,len:int>>", "array<string>"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, h1, h2 and the words of each document."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return documents(docs).select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), words(F.col("text")).alias("w"))
+
+
+def _places(sizes: list[int]) -> Column:
+    """at, k, gram of every shingle of the words ``w``, for each of the sizes."""
+    of = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), _shingle(w, i, k).alias("gram")))).otherwise(F.array().cast("array<struct<at:int,k:int,gram:bigint>>"))
+    return let(F.col("w"), lambda w: F.concat(*[of(w, k) for k in sizes]))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, hits (array of [start, length] of the benchmark windows it holds), items (their ids): a row for each document."""
+    """doc_id, h1, h2, n_words, hits (sorted array of [start, length] of the benchmark windows it holds), items (their ids): a row for each document."""
     scratch = Scratch(docs.sparkSession, "decontamination")
     wins = scratch.save(windows(benchmark, window).withColumn("window_id", F.monotonically_increasing_id()), "windows")
     k_of = F.least(F.col("len"), F.lit(SHINGLE))
@@ -58,37 +72,54 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
         own = wins.filter(k_of == k).select("window_id", "words", "len", places)
         grams.append(own.select("window_id", "len", "off", F.lit(k).alias("k"), _shingle(F.col("words"), F.col("off"), k).alias("gram")))
     gram = scratch.save(_union(grams), "grams")
+    known = gram.select("k", "gram").distinct()
+    if max(known.count(), wins.count()) <= MOST_BROADCAST:
+        return _by_broadcast(docs, gram, known, wins, sizes, window, scratch)
+    return _by_shuffle(docs, gram, known, wins, sizes, scratch)
 
-    # 1. every place of a benchmark shingle; each document's first place is kept anyway, for its row
-    rows = documents(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
-    rows = rows.select("row", "doc_id", "w", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("at", "word")).drop("word")
-    found = []
-    for k in sizes:
-        known = _few(gram.filter(F.col("k") == k).select(F.col("gram").alias("known")).distinct())
-        hashed = rows.withColumn("gram", F.when(F.col("at") + k <= F.col("n_words"), _shingle(F.col("w"), F.col("at"), k)))
-        first = F.coalesce(F.col("at"), F.lit(0)) == 0 if k == sizes[0] else F.lit(False)
-        hit = F.col("known").isNotNull()
-        around = F.slice("w", F.greatest(F.col("at") - (window - k), F.lit(0)) + 1, 2 * window - k)
-        kept = hashed.join(known, F.col("gram") == F.col("known"), "left").filter(hit | first)
-        found.append(kept.select("row", "doc_id", "n_words", "at", first.alias("first"), F.lit(k).alias("k"), F.when(hit, F.col("gram")).alias("gram"), F.when(hit, around).alias("around")))
-    found = scratch.save(_union(found), "places")
-
-    # 2. the rarest shingle of each window
-    freq = found.filter(F.col("gram").isNotNull()).groupBy("k", "gram").agg(F.count("*").alias("freq"))
+
+def _rarest(gram: DataFrame, found: DataFrame) -> DataFrame:
+    """window_id, len, off, k, gram: of each window the shingle that stands least often in all documents, if all of its shingles stand somewhere."""
+    freq = found.groupBy("k", "gram").agg(F.count("*").alias("freq"))
     order = Window.partitionBy("window_id").orderBy("freq", "gram", "off")
-    rarest = gram.join(freq, ["k", "gram"]).withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth", "freq", "len")
-    prefix = _few(scratch.save(rarest.join(wins, "window_id").select("k", "gram", "off", "words", "len", "items"), "prefix"))
+    return gram.join(freq, ["k", "gram"]).withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth", "freq")
 
-    # 3. and 4.
+
+def _by_broadcast(docs: DataFrame, gram: DataFrame, known: DataFrame, wins: DataFrame, sizes: list[int], window: int, scratch: Scratch) -> DataFrame:
+    rows = _named(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("w").cast("long"))
+    # each document's first place is kept anyway, for its row
+    each = rows.select("row", *KEY, "n_words", "w", F.posexplode_outer(_places(sizes)).alias("nth", "place")).select("row", *KEY, "n_words", "w", "nth", "place.*")
+    side = F.broadcast(known.select(F.col("k").alias("known_k"), F.col("gram").alias("known")))
+    hit, first = F.col("known").isNotNull(), F.coalesce("nth", F.lit(0)) == 0
+    around = F.slice("w", F.greatest(F.col("at") - (F.lit(window) - F.col("k")), F.lit(0)) + 1, 2 * window - F.col("k"))
+    kept = each.join(side, (F.col("gram") == F.col("known")) & (F.col("k") == F.col("known_k")), "left").filter(hit | first)
+    found = scratch.save(kept.select("row", *KEY, "n_words", "at", first.alias("first"), "k", F.when(hit, F.col("gram")).alias("gram"), F.when(hit, around).alias("around")), "places")
+
+    places = found.filter(F.col("gram").isNotNull())
+    prefix = scratch.save(_rarest(gram, places).drop("len").join(wins, "window_id").select("k", "gram", "off", "words", "len", "items"), "prefix")
     start = F.col("at") - F.col("off")
     lead = F.least(F.col("at"), F.lit(window) - F.col("k")) - F.col("off")
-    inside = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
+    inside = (start >= 0) & (start + F.col("len") <= F.col("n_words")) & (lead >= 0)
     same = F.slice("around", lead + 1, F.col("len")) == F.col("words")
-    hits = found.filter(F.col("gram").isNotNull()).join(prefix, ["k", "gram"]).filter(inside & (lead >= 0)).filter(same)
+    hits = places.join(F.broadcast(prefix), ["k", "gram"]).filter(inside).filter(same)  # a row for each window, counted above
     per_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(start.alias("start"), F.col("len")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    none = F.array()
-    out = found.filter("first").select("row", "doc_id", "n_words").join(per_row, "row", "left")
-    return out.select("doc_id", "n_words", F.coalesce("hits", none.cast("array<struct<start:int,len:int>>")).alias("hits"), F.coalesce("items", none.cast("array<string>")).alias("items"))
+    out = found.filter("first").select("row", *KEY, "n_words").join(per_row, "row", "left")
+    return out.select(*KEY, "n_words", F.coalesce("hits", F.array().cast(HITS)).alias("hits"), F.coalesce("items", F.array().cast(ITEMS)).alias("items"))
+
+
+def _by_shuffle(docs: DataFrame, gram: DataFrame, known: DataFrame, wins: DataFrame, sizes: list[int], scratch: Scratch) -> DataFrame:
+    each = _named(docs).select(*KEY, F.explode(_places(sizes)).alias("place")).select(*KEY, "place.*")
+    found = scratch.save(each.join(known, ["k", "gram"]), "places")
+    prefix = _rarest(gram, found)
+    start = F.col("at") - F.col("off")
+    meet = found.join(prefix, ["k", "gram"]).filter(start >= 0).select(*KEY, start.alias("start"), "window_id").distinct()
+    tried = meet.join(wins, "window_id").groupBy(*KEY).agg(F.collect_list(F.struct("start", "len", "words", "items")).alias("tried"))
+    own, w = _named(docs), F.col("w")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in KEY]
+    both = own.join(tried.withColumnsRenamed({c: f"of_{c}" for c in KEY}), same[0] & same[1] & same[2], "left")
+    good = F.filter(F.coalesce("tried", F.array().cast("array<struct<start:int,len:int,words:array<string>,items:array<string>>>")), lambda t: (t["start"] + t["len"] <= F.size(w)) & (F.slice(w, t["start"] + 1, t["len"]) == t["words"]))
+    both = scratch.save(both.select(*KEY, F.size(w).cast("long").alias("n_words"), good.alias("good")).select(*KEY, "n_words", F.transform("good", lambda t: F.struct(t["start"].alias("start"), t["len"].alias("len"))).alias("hits"), F.flatten(F.transform("good", lambda t: t["items"])).alias("items")), "hits")
+    return both.select(*KEY, "n_words", F.array_sort(F.array_distinct("hits")).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -115,10 +146,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents, all columns, that hold no window of the benchmark. A document whose doc_id a contaminated row shares goes, too."""
-    name = fresh(docs, "gone")
-    gone = mark(docs, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """The documents, all columns, that hold no window of the benchmark; each row by its own text, whatever ids it shares."""
+    names = [fresh(docs, f"gone_{c}") for c in KEY]
+    gone = mark(docs, benchmark, window).filter(F.size("hits") > 0).select(*[F.col(c).alias(n) for c, n in zip(KEY, names)]).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(text) == F.col(names[1])) & (F.xxhash64(F.lit(1), text) == F.col(names[2]))
+    return docs.join(gone, same, "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

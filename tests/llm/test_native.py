@@ -50,6 +50,49 @@ def test_decontamination(spark, docs, rows, empty):
     assert not any(r.contaminated for r in clean.decontaminate(docs, bench.limit(0)).collect())
 
 
+def hits_by_brute_force(rows, items):
+    """(doc_id, words, hit words, items) of each row."""
+    out = []
+    for d, t in rows:
+        w, hit, held = words(t), set(), set()
+        for i, x in items:
+            v = words(x)
+            n = min(len(v), 10)
+            for s in range(max(len(v) - 9, 1) if v else 0):
+                at = [k for k in range(len(w) - n + 1) if w[k] == v[s] and w[k : k + n] == v[s : s + n]]
+                hit.update(j for k in at for j in range(k, k + n))
+                if at:
+                    held.add(str(i))
+        out.append((str(d), len(w), len(hit), len(held)))
+    return sorted(out)
+
+
+def test_decontamination_without_broadcasts(spark, docs, rows, empty, monkeypatch):
+    """A benchmark too large to broadcast: rows stay narrow, so a long text is no more than its words."""
+    monkeypatch.setattr(clean, "MOST_BROADCAST", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = dict(rows)
+        long = [(2000, " ".join(f"w{i % 997} v{i}" for i in range(10_000)) + " " + text[10]), (2001, "the " * 20_000)]
+        items = [(1, text[10]), (2, "the of and"), (3, None), (5, text[97][30:200]), (6, "w17 v17 w18 v18 w19 v19 w20 v20 w21 v21 w22"), (7, "word"), (10, "tie OF ids")]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id long, text string"))
+        got = clean.decontaminate(more, bench)
+        no_python(got)
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in got.collect()) == hits_by_brute_force(rows + long, items)
+        assert clean.decontaminate(empty, bench).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_that_share_ids_are_judged_by_their_own_text(spark):
+    secret = " ".join(f"item{i}" for i in range(12))
+    own = [(None, secret), (None, "clean without id"), (None, None), (None, "another"), (7, f"a {secret} b"), (7, "clean seven"), (8, "eight")]
+    left = clean.drop_contaminated(spark.createDataFrame(own, "doc_id long, text string").repartition(3), spark.createDataFrame([(1, secret)], "item_id long, text string"))
+    assert sorted(map(str, left.collect())) == sorted(map(str, spark.createDataFrame([own[i] for i in (1, 2, 3, 5, 6)], "doc_id long, text string").collect()))
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 PERSONAL = [
     "a@b.c@d.e a@b.cd%x@y.z q@w.e.", "1.2.3.4.5.6.7.8 300.1.1.1 001.02.3.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1111 5", "+1 (2) 3456789- +1+12345678901 +1(((((", "é😀a@b.c 😀 10.0.0.1", "", None,

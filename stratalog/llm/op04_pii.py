@@ -32,8 +32,8 @@ BASE = {
 #: Kinds that the method adds, in order: candidate pattern, strict shape, words that speak for it before it, gazetteer pattern on the value.
 ADDED = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,34}$", "iban|account|konto|compte|cuenta|bank", r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"),
-    "mail": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}+){1,5}", r"[\[(](?:at|AT)[\])].*(?:\.|[\[(](?:dot|DOT)[\])])", "mail|contact|kontakt|correo|courriel|write to", r"(?:com|org|net|edu|de|fr|es|io|info)$"),
-    "secret": (r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,40}[0-9])[A-Za-z0-9_+/=-]{20,512}+(?![A-Za-z0-9_+/=-])", r"^(?:[0-9a-f]{32,128}|[A-Za-z0-9_+/=-]{20,512})$", "token|secret|password|passwd|api.?key|access.?key|auth|bearer|credential", r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox|eyJ|glpat-|AIza)"),
+    "mail": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++", r"[\[(](?:at|AT)[\])].*(?:\.|[\[(](?:dot|DOT)[\])])", "mail|contact|kontakt|correo|courriel|write to", r"(?:com|org|net|edu|de|fr|es|io|info)$"),
+    "secret": (r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}", r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])", "token|secret|password|passwd|pwd|api.?key|access.?key|auth|bearer|credential", r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox|eyJ|glpat-|AIza)"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "ssn|social security|taxpayer", r"^[0-8]"),
     "tel": (r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$", "phone|tel|call|mobile|cell|fax|telefon|anruf|appel|llam", r"^\(?[2-9]"),
 }

@@ -1,9 +1,12 @@
 """Operator 5: license scan by ordered signature rules (DataFrame functions only).
 
-A document passes the keyword prefilter if its lower-cased text holds a first word of any rule's keyword; only then are
-its words joined by single spaces, and each keyword found in them calls the rules that it guards (an equi-join with the
-rule table, whose size is fixed). Detections are word intervals. One that lies inside another of higher priority, or
-inside a longer one of equal priority, is suppressed.
+A document passes the keyword prefilter if one of its words is the signal word of any rule's keyword; only then are its
+words joined by single spaces, and each keyword found in them calls the rules that it guards (an equi-join with the rule
+table, whose size is fixed). Detections are word intervals. One that lies inside another of higher priority, or inside a
+longer one of equal priority, is suppressed.
+
+All steps are linear in a text's length but for sorting: word numbers come from running sums, and suppression from running
+maxima over the detections of a text in the order of their starts.
 
 Base phrases are reported wherever their words stand, suppression or not.
 
@@ -13,11 +16,13 @@ overlapping phrases count each; an empty table gives no rows; other columns of t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, documents, match_spans, words
-from .license_rules import rules
+from .common import Scratch, documents, let, running, words
+from .license_rules import GENERIC, rules
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -38,36 +43,39 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def keywords() -> list[str]:
     return sorted({keyword for _, _, keyword, _, _ in rules()})
 
 
-def stems() -> list[str]:
-    """What any text that passes must hold: the longest word of each keyword, none of which holds another."""
-    longest = sorted({max(k.split(), key=len) for k in keywords()}, key=len)
-    return [x for i, x in enumerate(longest) if not any(y in x for y in longest[:i])]
+def signals() -> list[str]:
+    """A word of each keyword that any text with the keyword holds: the longest that is not a generic one."""
+    rarest = lambda k: max(k.split(), key=lambda w: (w not in GENERIC, len(w), w))
+    return sorted({rarest(k) for k in keywords()})
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """rule, label, guard, pattern, priority: a row for each rule."""
+    kind = "array<struct<rule:string,label:string,guard:string,pattern:string,priority:int>>"
+    text = json.dumps([dict(zip(("rule", "label", "guard", "pattern", "priority"), r)) for r in rules()])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
+DETECTION = "array<struct<start:int,end:int,priority:int,label:string,rule:string>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, starts (an array for each base phrase), found (array of kept detections), a row for each document."""
     spark = docs.sparkSession
-    table = rules()
-    low = documents(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
-    gated = low.select("row", "doc_id", words(F.col("low")).alias("w"), _any([F.contains("low", F.lit(x)) for x in stems()]).alias("gate"))
-    joined = gated.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("gate"), F.col("w")).alias("w"), F.when(F.col("gate"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).alias("norm"))
+    low = documents(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    gate = F.arrays_overlap("w", F.array(*[F.lit(x) for x in signals()]))
+    joined = low.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(gate, F.col("w")).alias("w"))
+    joined = joined.select("*", F.when(F.col("w").isNotNull(), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).alias("norm"))
     holds = lambda x: F.contains("norm", F.lit(f" {x}"))
-    named = F.filter(F.array(*[F.when(holds(k), F.lit(k)) for k in keywords()]), lambda x: x.isNotNull())
+    named = F.filter(F.array(*[F.when(holds(f"{k} "), F.lit(k)) for k in keywords()]), lambda x: x.isNotNull())
     starts = F.struct(*[F.when(holds(p), _places(F.col("w"), p)).otherwise(F.array().cast("array<int>")).alias(label) for p, label in BASE.items()])
     rows = joined.select("row", "doc_id", "n_words", starts.alias("starts"), "norm", F.when(F.col("norm").isNotNull(), named).alias("named"))
     called = rows.select("row", "doc_id", "n_words", "starts", "norm", F.explode_outer("named").alias("keyword"))
-    rule = F.broadcast(spark.createDataFrame(table, "rule string, label string, guard string, pattern string, priority int"))  # fixed size
+    rule = F.broadcast(rule_table(spark))  # fixed size
     pattern = F.concat(F.lit("(?<= )(?:"), F.col("pattern"), F.lit(")(?= )"))
     tried = called.join(rule, F.col("keyword") == F.col("guard"), "left")
     hits = tried.withColumn("hit", F.when(F.col("pattern").isNotNull(), F.regexp_like("norm", pattern)).otherwise(False))
@@ -77,30 +85,40 @@ def scan(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "license")
     kept = scratch.save(out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("starts").alias("starts"), F.collect_set("d").alias("d")), "detections")
     flat = F.flatten(F.transform("d", lambda d: F.transform(d["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["rule"].alias("rule")))))
-    return kept.select("doc_id", "n_words", "starts", flat.alias("all")).select("doc_id", "n_words", "starts", _suppress(F.col("all")).alias("found"))
+    left = _unsuppressed(kept.select("row", F.explode(flat).alias("x")).select("row", "x.*"))
+    left = left.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "priority", "label", "rule"))).alias("found"))
+    return kept.join(left, "row", "left").select("doc_id", "n_words", "starts", F.coalesce("found", F.array().cast(DETECTION)).alias("found"))
 
 
 def _word_spans(norm: Column, pattern: Column) -> Column:
     """Word intervals of the matches; a word's number is the count of spaces before it, less one."""
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    each = lambda s: F.struct((spaces(F.substring(norm, F.lit(1), s["start"])) - 1).alias("start"), (spaces(F.substring(norm, F.lit(1), s["end"]))).alias("end"))
-    return F.transform(match_spans(norm, pattern), each)
+    step = lambda gap, hit: spaces(gap) + spaces(hit)
+    place = lambda hits: lambda gaps: let(
+        running(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, step)),
+        lambda ends: F.zip_with(hits, ends, lambda hit, end: F.struct((end - spaces(hit) - 1).alias("start"), end.alias("end"))),
+    )
+    return let(F.regexp_extract_all(norm, pattern, F.lit(0)), lambda hits: let(F.split(norm, pattern), place(hits)))
+
 
+def _unsuppressed(found: DataFrame) -> DataFrame:
+    """Detections (row, start, end, priority, rule, ...) without those inside one of higher priority, or inside a longer one (or the same place by an earlier rule) of equal priority.
 
-def _suppress(found: Column) -> Column:
-    """Drops a detection inside one of higher priority, or inside a longer one (or the same place by an earlier label) of equal priority."""
-    within = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])
-    size = lambda x: x["end"] - x["start"]
-    beats = lambda b, a: (b["priority"] > a["priority"]) | (b["priority"] == a["priority"]) & ((size(b) > size(a)) | (size(b) == size(a)) & (b["rule"] < a["rule"]))
-    return F.array_sort(F.filter(found, lambda a: ~F.exists(found, lambda b: within(a, b) & beats(b, a))))
+    In the order of start, then falling end, priority, then rule, whatever can suppress a detection comes before it; so it is
+    suppressed if the greatest end before it, of its priority or above, is not less than its own."""
+    before = Window.partitionBy("row").orderBy("start", F.col("end").desc(), F.col("priority").desc(), "rule").rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted({p for *_, p in rules()})
+    reach = [F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before).alias(f"reach{p}") for p in levels]
+    own = F.coalesce(*[F.when(F.col("priority") == p, F.coalesce(f"reach{p}", F.lit(-1))) for p in levels])
+    return found.select("*", *reach).filter(own < F.col("end")).select(*found.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the share of words in kept detections that the best rule's priority weighs)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the highest priority of a kept detection, 50 at least with a base phrase, over 100)."""
     base = F.concat(*[F.col("starts")[x] for x in BASE.values()])
     labels = F.filter(F.array(*[F.when(F.size(F.col("starts")[x]) > 0, F.lit(x)) for x in BASE.values()]), lambda x: x.isNotNull())
     every = F.array_sort(F.array_distinct(F.concat(labels, F.transform("found", lambda x: x["label"]))))
-    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["priority"])), F.when(F.size(labels) > 0, 50).otherwise(0)) / 100.0
+    best = F.greatest(F.array_max(F.transform("found", lambda x: x["priority"])), F.when(F.size(labels) > 0, 50).otherwise(0)) / 100.0
     return scan(docs).select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base).cast("long").alias("first_word"), F.array_max(base).cast("long").alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), best.cast("double").alias("score"),

@@ -165,6 +165,64 @@ def test_licenses(spark, docs, rows, empty):
         assert label and keyword
 
 
+def detections_by_brute_force(text):
+    """(start, end, priority, label, rule) of kept detections, every pair of detections compared."""
+    w = words(text)
+    norm, found = " " + " ".join(w) + " ", []
+    for rule, label, keyword, pattern, priority in rules():
+        if f" {keyword} " in norm:
+            for m in re.finditer(f"(?<= )(?:{pattern})(?= )", norm):
+                found.append((norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" "), priority, label, rule))
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
+    beats = lambda b, a: (b[2], b[1] - b[0]) > (a[2], a[1] - a[0]) or (b[2], b[1] - b[0]) == (a[2], a[1] - a[0]) and b[4] < a[4]
+    return sorted(a for a in found if not any(inside(a, b) and beats(b, a) for b in found))
+
+
+def test_license_detections_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    plain = [re.sub(r"\\[.*?\\]|\\(\\?.*?\\)\\??|[?|^$.*+{}()\\[\\]]", "", r[3]) for r in rules()]
+    texts = LICENSED + [" ".join(rnd.choice(plain) for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
+    texts += ["Licensed under the Apache License", "the BSD license", "Mozilla Public License", "OpenRAIL license", "patents pending, gplv3 or lgpl 2.1", "licence creative commons dans le domaine public"]
+    got = {r.doc_id: sorted(tuple(x) for x in r.found) for r in lic.scan(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == detections_by_brute_force(t), t
+    assert {x[3] for x in sum(got.values(), [])} > {"patent", "agpl", "cc-by", "terms-of-use", "reserved"}
+    labels = [{x[3] for x in got[i]} for i in range(len(texts) - 6, len(texts))]
+    assert labels[:4] == [{"apache"}, {"bsd"}, {"mpl"}, {"openrail-m"}] and labels[5] == {"cc", "public-domain"}
+
+
+def test_long_repetitive_license_text_takes_seconds(spark):
+    import time
+
+    lic.report(frame(spark, ["cc by"])).collect()
+    began = time.time()
+    got = lic.report(frame(spark, ["cc by " * 100_000, "all rights reserved cc by sa 4.0 " * 20_000])).collect()
+    assert {r.n_base for r in got} == {100_000, 40_000} and time.time() - began < 60
+
+
+def test_rules_fire_alone(spark):
+    """The written-out rules pass prefilter and guard with nothing but their own words, without their optional parts."""
+    from stratalog.llm.license_rules import BODY, SINGLE, UNVERSIONED
+
+    def least(pattern):
+        while re.search(r"\((?!\?[<])", pattern):
+            pattern = re.sub(r"\((?:\?:)?([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], pattern, count=1)
+            pattern = re.sub(r"\(\?<!?[^()]*\)", "", pattern)
+        return re.sub(r"\[(?:\^ )?([^\]]?)[^\]]*\](\{\d\}|\+)?", r"\1", re.sub(r".\?|\.\{1,\d+\}", lambda m: "x" if m[0][0] == "." else "", pattern))
+
+    every = [(label, re.sub(r"\s+", " ", least(pattern)).strip()) for label, _, pattern, _ in (*SINGLE, *UNVERSIONED, *BODY) if "[" not in pattern]
+    got = {r.doc_id: r.labels for r in lic.report(frame(spark, [t for _, t in every])).collect()}
+    quiet = [t for i, (_, t) in enumerate(every) if not got[i]]
+    assert len(every) > 150 and not quiet
+
+
+def test_signals_are_whole_words_of_keywords():
+    signals = set(lic.signals())
+    assert all(set(k.split()) & signals for k in lic.keywords())
+
+
 ANCHORS = set(spot.ANCHORS)
 
 

@@ -2,10 +2,11 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns. Further candidates (bank accounts, spelled-out addresses,
 secrets, social security numbers, local phone numbers) are judged by labelers that vote 1, 0 or -1: shape (regex),
-gazetteer, context before the span, make-up of its characters, and its borders. Counts of vote patterns over all
-documents, base spans included, are all that leaves the executors (a bounded table: kinds x 3^labelers). On them,
-expectation-maximisation estimates how reliable each labeler is, and a logistic span classifier is trained on the
-resulting posteriors. It is applied as a plain expression; candidates that it accepts become spans.
+gazetteer, context before the span, make-up of its characters, its borders, and support (whether gazetteer or context
+speaks for it; base spans need none and abstain). Counts of vote patterns over all documents, base spans included, are all
+that leaves the executors (a bounded table: kinds x 3^labelers). On them, expectation-maximisation estimates how reliable
+each labeler is, and a logistic span classifier is trained on the resulting posteriors. It is applied as a plain
+expression and alone decides: candidates that it accepts become spans.
 
 Patterns are written so that no match backtracks over a long run: possessive, and starting only where a run starts.
 
@@ -33,12 +34,17 @@ BASE = {
 ADDED = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,34}$", "iban|account|konto|compte|cuenta|bank", r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"),
     "mail": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++", r"[\[(](?:at|AT)[\])].*(?:\.|[\[(](?:dot|DOT)[\])])", "mail|contact|kontakt|correo|courriel|write to", r"(?:com|org|net|edu|de|fr|es|io|info)$"),
-    "secret": (r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}", r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])", "token|secret|password|passwd|pwd|api.?key|access.?key|auth|bearer|credential", r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox|eyJ|glpat-|AIza)"),
+    "secret": (r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}", r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])", "token|secret|password|passwd|pwd|api.?key|access.?key|auth|bearer|credential", r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox|eyJ|glpat-|AIza)"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "ssn|social security|taxpayer", r"^[0-8]"),
     "tel": (r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$", "phone|tel|call|mobile|cell|fax|telefon|anruf|appel|llam", r"^\(?[2-9]"),
 }
 AGAINST = "version|page|isbn|doi|figure|table|sha1|sha256|md5|commit|checksum|hash"
-LABELERS = ("shape", "gazetteer", "context", "characters", "borders")
+LABELERS = ("shape", "gazetteer", "context", "characters", "borders", "support")
+#: Prior counts of a labeler's votes on personal data and on the rest: somewhat better than chance, which also fixes which class is which.
+PRIOR = ({1: 7.0, 0: 2.0, -1: 1.0}, {1: 2.0, 0: 3.0, -1: 5.0})
+#: Log odds of a support vote. They are given, not estimated: without a labelled span, candidates that nothing speaks for
+#: would otherwise be taken for whatever class is the larger one.
+SUPPORT = {1: 2.0, 0: 0.0, -1: -8.0}
 SPAN = "array<struct<start:int,end:int,value:string>>"
 #: Code points before a span that the context labeler sees.
 CONTEXT = 32
@@ -87,6 +93,8 @@ def _votes(text: Column, kind: str, base: bool):
             _vote(v.rlike("[0-9]") & (kinds >= 5), (kinds < 4) | v.rlike(r"^[A-Za-z_+/=-]+$")) if not base else _vote(kinds >= 4, kinds < 3),
             _vote(~sides.rlike("[A-Za-z0-9]"), sides.rlike("[A-Za-z0-9_]")),
         )
+        spoken = (votes[1] == 1) | (votes[2] == 1)
+        votes = (*votes, F.lit(0) if base else _vote(spoken, ~spoken))
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[x.alias(n) for n, x in zip(LABELERS, votes)])
 
     return of
@@ -97,7 +105,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(SPAN)
     rows = documents(docs).select("doc_id", text.alias("text"), text.rlike("[0-9]").alias("digits"), F.contains(text, F.lit("@")).alias("at"))
-    gate = {"email": F.col("at"), "phone": F.col("digits") & F.contains("text", F.lit("+")), "mail": F.col("text").rlike(r"[\[(](?:at|AT)[\])]")}
+    gate = {"email": F.col("at"), "phone": F.col("digits") & F.contains("text", F.lit("+")), "mail": F.col("text").rlike(r"[\[(](?:at|AT)[\])]"), "secret": F.col("digits") | F.contains("text", F.lit("AKIA")) | F.contains("text", F.lit("ASIA"))}
     text = F.col("text")
     base = {k: F.when(gate.get(k, F.col("digits")), F.filter(match_spans(text, p), _holds(k))).otherwise(none) for k, p in BASE.items()}
     more = {k: F.when(gate.get(k, F.col("digits")), match_spans(text, x[0])).otherwise(none) for k, x in ADDED.items()}
@@ -112,35 +120,34 @@ VOTED = f"array<struct<kind:string,start:int,end:int,{','.join(f'{x}:int' for x
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60) -> list[float]:
-    """Expectation-maximisation for two classes and independent labelers; the posterior that each vote pattern is personal data.
-
-    The prior counts say that labelers are somewhat better than chance, which also fixes which class is which."""
-    prior = ({1: 7.0, 0: 2.0, -1: 1.0}, {1: 2.0, 0: 3.0, -1: 5.0})
-    share = [min(0.95, max(0.05, 0.5 + 0.15 * sum(v))) for v, _ in patterns]
+    """Expectation-maximisation for two classes, equally likely beforehand, and independent labelers; the posterior that each vote pattern is personal data."""
+    learned = [j for j, name in enumerate(LABELERS) if name != "support"]
+    given = [sum(SUPPORT[v] for name, v in zip(LABELERS, votes) if name == "support") for votes, _ in patterns]
+    share = [1 / (1 + math.exp(-0.6 * sum(votes[j] for j in learned if j < len(votes)) - g)) for (votes, _), g in zip(patterns, given)]
     for _ in range(rounds):
-        weight, table = [1.0, 1.0], [[dict(p) for _ in LABELERS] for p in prior]
+        table = [[dict(p) for _ in LABELERS] for p in PRIOR]
         for (votes, n), s in zip(patterns, share):
             for c, part in ((0, s * n), (1, (1 - s) * n)):
-                weight[c] += part
                 for j, v in enumerate(votes):
                     table[c][j][v] += part
         logs = [[{v: math.log(x / sum(t.values())) for v, x in t.items()} for t in side] for side in table]
-        odds = [math.log(weight[0] / weight[1]) + sum(logs[0][j][v] - logs[1][j][v] for j, v in enumerate(votes)) for votes, _ in patterns]
+        odds = [g + sum(logs[0][j][votes[j]] - logs[1][j][votes[j]] for j in learned if j < len(votes)) for (votes, _), g in zip(patterns, given)]
         share = [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in odds]
     return share
 
 
-def train(rows: list[tuple[str, tuple[int, ...], float]], steps: int = 400) -> dict[str, float]:
+def train(rows: list[tuple[str, tuple[int, ...], float]], steps: int = 800) -> dict[str, float]:
     """Weights of the final span classifier: logistic regression on votes and kind, fitted to the posteriors."""
     share = estimate([(v, n) for _, v, n in rows])
-    inputs = [[("bias", 1.0), (f"kind {k}", 1.0), *((f"{name} {v}", 1.0) for name, v in zip(LABELERS, votes) if v)] for k, votes, _ in rows]
-    w, total = {x: 0.0 for i in inputs for x, _ in i} | {"bias": 0.0}, sum(math.log1p(n) for *_, n in rows) or 1.0
+    inputs = [[("bias"), f"kind {k}", *(f"{name} {v}" for name, v in zip(LABELERS, votes) if v)] for k, votes, _ in rows]
+    weight = [1 + math.log1p(n) for *_, n in rows]
+    w, total = {x: 0.0 for i in inputs for x in i} | {"bias": 0.0}, sum(weight) or 1.0
     for _ in range(steps):
-        slope = {x: 0.002 * v for x, v in w.items()}
-        for x, s, (*_, n) in zip(inputs, share, rows):
-            p = 1 / (1 + math.exp(-sum(w[f] for f, _ in x)))
-            for f, _ in x:
-                slope[f] += (p - s) * math.log1p(n) / total
+        slope = {x: 0.001 * v for x, v in w.items()}
+        for x, s, n in zip(inputs, share, weight):
+            p = 1 / (1 + math.exp(-sum(w[f] for f in x)))
+            for f in x:
+                slope[f] += (p - s) * n / total
         w = {x: v - 1.5 * slope[x] for x, v in w.items()}
     return w
 
@@ -159,8 +166,7 @@ def _accepted(found: DataFrame) -> Column:
         (F.when(x[n] == 1, w.get(f"{n} 1", 0.0)).when(x[n] == -1, w.get(f"{n} -1", 0.0)).otherwise(0.0) for n in LABELERS),
         F.lit(w["bias"]) + sum((F.when(x["kind"] == k, w.get(f"kind {k}", 0.0)).otherwise(0.0) for k in ADDED), F.lit(0.0)),
     )
-    backed = lambda x: (x["gazetteer"] == 1) | (x["context"] == 1)
-    taken = F.filter("voted", lambda x: x["kind"].isin(*ADDED) & (x["shape"] == 1) & backed(x) & (odds(x) > 0))
+    taken = F.filter("voted", lambda x: x["kind"].isin(*ADDED) & (odds(x) > 0))
     return F.transform(F.array_sort(F.transform(taken, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))), lambda x: x)
 
 
@@ -169,19 +175,19 @@ def _spelled(kind: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans of the method's own kinds), n_spans (all)."""
     base = F.concat(*[_spelled(k) for k in BASE])
     more = F.transform("more", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
-    return find(docs).select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
+    return find(docs).select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"), F.size("more").cast("long").alias("n_added"), (F.size(base) + F.size("more")).cast("long").alias("n_spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     scratch = Scratch(docs.sparkSession, "pii-mask")
     keep, (hash_, n_, spans_) = docs.columns, (fresh(docs, x) for x in ("hash", "n", "spans"))
-    # Spans depend on the text alone: equal texts share them, and the join is on the text's hash and length.
-    key = lambda: [F.xxhash64("text").alias(hash_), F.length("text").alias(n_)]
+    # Spans depend on the text alone: equal texts share them, and the join is on two hashes of the text.
+    key = lambda: [F.xxhash64("text").alias(hash_), F.xxhash64(F.lit(1), "text").alias(n_)]
     own = documents(docs)
     found = scratch.save(candidates(own).filter(F.size("voted") > 0).select(*key(), *BASE, "voted").dropDuplicates([hash_, n_]), "candidates")
     named = lambda kind: lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"))

@@ -9,17 +9,22 @@ words have an empty fingerprint. Likeness is the Jaccard coefficient of two sets
 empty).
 
 ``near_duplicates`` partitions sets by length, so that only neighbouring partitions can reach the threshold, indexes a
-prefix of each set, and compares candidates by Jaccard, pruned by the lengths and the positions where they meet.
+prefix of each set, and compares candidates by Jaccard, pruned by the lengths and the positions where they meet. The query
+gives its groups as component_id.
 
-For "the next document", doc_ids are cut into ranges at approximate quantiles; a window finds the next row within a
-range, and the first row of the following range serves its last one. No task sees more than a range.
+For "the next document", documents are cut into ranges of doc_id at approximate quantiles; an id that takes several
+quantiles is cut further by the hash of the text. A window finds the next row within a range, and the first row of the
+following range serves its last one. No task sees more than a range; only rows equal in id and text can't be parted.
 
-Edge cases: null or empty text has an empty fingerprint; a null doc_id comes first; rows with equal doc_id are ordered by
-their text's hash; a single document is its own next; an empty table gives no rows; other columns are ignored.
+Edge cases: null or empty text has an empty fingerprint and is near nothing; a null doc_id comes first and never names a
+group unless all of it are null; rows with equal doc_id are ordered by their text's hash; a single document is its own
+next; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +82,7 @@ def fingerprint(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard coefficient of two signature sets; disjoint ranges and empty sets need no comparison."""
+    """Jaccard coefficient of two signature sets; equal ones and empty ones need no comparison."""
     common = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b)
     apart = (F.size(a) == 0) | (F.size(b) == 0)
@@ -85,20 +90,27 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_spots, component_id: documents whose signature sets have a Jaccard coefficient of percent / 100 or more are linked.
+    """doc_id, h (hash of the text), n_spots, component_id: documents whose signature sets have a Jaccard coefficient of percent / 100 or more are linked.
 
     Equal sets are one from the start. As in a prefix join, a set is indexed by its first n - ceil(t n) + 1 hashes, and
     by its length partition; candidates meet a pivot first and only then sets of other components."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "spotsigs")
-    rows = documents(docs).select("doc_id", spots(F.coalesce("text", F.lit(""))).alias("spots"))
-    rows = scratch.save(rows.select("doc_id", "spots", F.size("spots").alias("n"), F.xxhash64("spots").alias("ref")), "rows")
-    sets = scratch.save(rows.filter("n > 0").dropDuplicates(["ref"]).select("ref", "n", "spots"), "sets")
-    # Sets of similar length fall into one partition or into neighbours: each is indexed in its own and in the next.
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(docs).select("doc_id", F.xxhash64(text).alias("h"), spots(text).alias("spots"))
+    rows = scratch.save(rows.select("doc_id", "h", F.col("spots").cast(SET).alias("spots"), F.size("spots").alias("n"), F.xxhash64("spots").alias("ref")), "rows")
+    sets = scratch.save(rows.filter("n > 0").groupBy("ref").agg(F.first("n").alias("n"), F.first("spots").alias("spots")), "sets")
+    members = scratch.save(rows.drop("spots"), "members")
+    scratch.drop("rows")
+    # Sets of similar length fall into one partition or into neighbours: each is indexed in its own and in the next. A hash
+    # goes over the network once; the partitions are made where it arrives.
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     first = F.slice("spots", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
-    index = sets.select("ref", "n", F.explode(F.array(part, part + 1)).alias("part"), first.alias("first")).select("ref", "n", "part", F.posexplode("first").alias("at", "key"))
-    index = scratch.save(index, "index")
+    index = sets.select("ref", "n", F.posexplode(first).alias("at", "key")).repartition("key")
+    index = index.select("ref", "n", "at", "key", F.explode(F.array(part, part + 1)).alias("part"))
+    group = Window.partitionBy("key", "part")
+    index = index.withColumn("p", F.min(F.struct("ref", "n", "at")).over(group)).withColumn("sets", F.count("*").over(group))
+    index = scratch.save(index.filter("sets > 1").drop("sets"), "index")
     can = lambda na, nb, pa, pb: (F.least(na, nb) * 100 >= percent * F.greatest(na, nb)) & (F.least(na - pa, nb - pb) >= F.ceil(percent * (na + nb) / (100 + percent)))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -107,28 +119,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    pivot = index.groupBy("part", "key").agg(F.min(F.struct("ref", "n", "at")).alias("p"))
-    met = index.join(pivot, ["part", "key"]).filter((F.col("ref") != F.col("p.ref")) & can(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at")))
+    met = index.filter((F.col("ref") != F.col("p.ref")) & can(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at")))
     found = scratch.save(links(met.select(F.col("p.ref").alias("a"), F.col("ref").alias("b"))), "links1")
     comps = components(found, scratch, "first")
-    named = index.join(comps, F.col("ref") == F.col("node"), "left").select("part", "key", "ref", "n", "at", F.coalesce("comp", "ref").alias("comp"))
-    mixed = named.groupBy("part", "key", "comp").count().groupBy("part", "key").agg(F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    named = index.drop("p").join(comps, F.col("ref") == F.col("node"), "left").select("part", "key", "ref", "n", "at", F.coalesce("comp", "ref").alias("comp"))
+    mixed = named.groupBy("part", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("part", "key")
     named = scratch.save(named.join(mixed, ["part", "key"]), "mixed")
     side = lambda x: named.select("part", "key", F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("comp").alias(f"c{x}"))
     cross = side("a").join(side("b"), ["part", "key"]).filter((F.col("ca") < F.col("cb")) & can(F.col("na"), F.col("nb"), F.col("ata"), F.col("atb")))
     more = scratch.save(links(cross.select("a", "b")), "links2")
+    for done in ("sets", "index", "mixed"):
+        scratch.drop(done)
     comps = components(more, scratch, "second", known=comps)
-    of_set = rows.filter("n > 0").groupBy("ref").agg(F.min("doc_id").alias("low")).join(comps, F.col("ref") == F.col("node"), "left").select("ref", "low", F.coalesce("comp", "ref").alias("comp"))
-    low = of_set.join(of_set.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("ref", "component_id")
-    return rows.join(low, "ref", "left").select("doc_id", F.col("n").alias("n_spots"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id"))
+    of_set = members.filter("n > 0").groupBy("ref").agg(least.alias("low")).join(comps, F.col("ref") == F.col("node"), "left").select("ref", "low", F.coalesce("comp", "ref").alias("comp"))
+    low = of_set.join(of_set.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("ref", F.col("least.doc_id").alias("component_id"))
+    out = members.join(low, "ref", "left").select("doc_id", "h", F.col("n").alias("n_spots"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.save(out, "components")
+
+
+def _count_to(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most the value, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*[F.lit(x).cast("long") for x in cuts])
+    return let(table, lambda t: _descend(F.lit(0), t, value, 1 << (len(cuts).bit_length() - 1), len(cuts)))
 
 
-def _range_of(value: Column, splits: list[int]) -> Column:
-    """How many splits are at most the value, by binary search."""
-    at, table = F.lit(0), F.array(*[F.lit(x).cast("long") for x in splits])
-    step = 1 << max(len(splits).bit_length() - 1, 0)
-    search = lambda t: _descend(at, t, value, step, len(splits))
-    return let(table, search) if splits else at
+def _range_of(at: Column, h: Column, cuts: list[int]) -> Column:
+    """The range of (at, h): a value that is several cuts is one range for each of them, by h."""
+    upper, lower = _count_to(at, cuts), F.when(at == LOWEST, 0).otherwise(_count_to(at - F.lit(1).cast("long"), cuts))
+    of = lambda m: F.least(F.floor((h / F.lit(2.0**64) + 0.5) * m).cast("int"), m - 1)
+    return let(F.struct(upper.alias("u"), lower.alias("l")), lambda x: F.when(x["u"] - x["l"] < 2, x["u"]).otherwise(x["l"] + 1 + of(x["u"] - x["l"])))
 
 
 def _descend(at: Column, table: Column, value: Column, step: int, n: int) -> Column:
@@ -138,41 +160,57 @@ def _descend(at: Column, table: Column, value: Column, step: int, n: int) -> Col
     return let(at + F.when(take, step).otherwise(0), lambda x: _descend(x, table, value, step // 2, n))
 
 
-def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
-    """doc_id, text, the columns of ``more``, and next_text and next_<name>: those of the next document, after the last the first."""
+#: Stands for a null doc_id in the order.
+LOWEST = -(1 << 63)
+
+
+def with_next(docs: DataFrame, more: dict[str, Column], known: DataFrame | None = None) -> DataFrame:
+    """doc_id, text, the columns of ``more``, and next_text and next_<name>: those of the next document, after the last the first.
+
+    known: doc_id, h and one more column, which documents get; its rows travel to the documents' ranges, not texts to it."""
     spark = docs.sparkSession
-    lowest = -(1 << 63)
-    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(lowest)).alias("at"))
+    order = lambda df: df.withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
+    rows = order(documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("h", F.xxhash64("text"))
     ranges = 4 * shuffle_partitions(spark)
-    cuts = rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("cuts")).first().cuts  # a value for each range
-    splits = sorted(set(cuts or []))
-    rows = rows.withColumn("range", _range_of(F.col("at"), splits)).withColumn("h", F.xxhash64("text"))
-    # the first document of each range: as many rows as there are ranges, found by their ids
-    least = [r for r in rows.groupBy("range").agg(F.min("at").alias("at")).orderBy("range").collect()]
-    full = rows.select("*", *[c.alias(n) for n, c in more.items()])
-    order = Window.partitionBy("range").orderBy("at", "h")
+    cuts = rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("cuts")).first().cuts or []  # a value for each range
+    place = lambda df: df.withColumn("range", _range_of(F.col("at"), F.col("h"), sorted(cuts)))
+    rows = place(rows)
+    # the first document of each range: as many rows as there are ranges, found by id and hash
+    least = rows.groupBy("range").agg(F.min(F.struct("at", "h")).alias("x")).select("range", "x.*").orderBy("range").collect()
+    added = [c for c in known.columns if c not in ("doc_id", "h")] if known is not None else []
     held = ["text", *more]
-    ahead = full.withColumn("next", F.lead(F.struct(*held)).over(order))
-    if not least:
-        return ahead.select("doc_id", *held, *[F.col(f"next.{n}").alias(f"next_{n}") for n in held])
-    follower = spark.createDataFrame([(a["range"], b["at"]) for a, b in zip(least, least[1:] + least[:1])], "before int, at long")
-    firsts = full.filter(F.col("at").isin([r["at"] for r in least])).withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy("h"))).filter("nth = 1")
-    heads = firsts.join(F.broadcast(follower), "at").select("before", F.struct(*held).alias("head"))  # a row for each range
-    both = ahead.join(heads, (F.col("range") == F.col("before")) & F.col("next").isNull(), "left").withColumn("next", F.coalesce("next", "head"))
-    return both.select("doc_id", *held, *[F.col(f"next.{n}").alias(f"next_{n}") for n in held])
-
-
-def compare(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document."""
-    rows = with_next(docs, {"spots": spots(F.coalesce(F.col("text"), F.lit("")))})
+    wide = rows.withColumn("document", F.lit(True)).select("*", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in added])
+    if known is not None:
+        other = place(order(known.distinct())).withColumn("document", F.lit(False))
+        wide = wide.unionByName(other, allowMissingColumns=True)
+    # what is computed from texts is computed after they have travelled
+    full = wide.repartition("range").select("*", *[c.alias(n) for n, c in more.items()])
+    window = Window.partitionBy("range").orderBy("at", "h", "document")
+    after = [F.lead(F.struct("document", *held), k).over(window) for k in (1, 2)]
+    own = [F.last(c, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in added]
+    ahead = full.select("doc_id", "range", "document", *held, F.when(after[0]["document"], after[0]).otherwise(after[1]).alias("next"), *own).filter("document")
+    if least:
+        text = json.dumps([{"before": a["range"], "at": b["at"], "h": b["h"]} for a, b in zip(least, least[1:] + least[:1])])
+        follower = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<before:int,at:bigint,h:bigint>>")))
+        firsts = rows.join(F.broadcast(follower), ["at", "h"]).withColumn("nth", F.row_number().over(Window.partitionBy("before").orderBy("h"))).filter("nth = 1")
+        heads = firsts.select("before", *[c.alias(n) for n, c in {"text": F.col("text"), **more}.items()]).select("before", F.struct(F.lit(True).alias("document"), *held).alias("head"))
+        both = ahead.join(heads, (F.col("range") == F.col("before")) & F.col("next").isNull(), "left")
+        ahead = both.withColumn("next", F.coalesce("next", "head"))
+    return ahead.select("doc_id", *held, *added, *[F.col(f"next.{n}").alias(f"next_{n}") for n in held])
+
+
+def compare(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id for each document."""
+    known = near_duplicates(docs, percent).select("doc_id", "h", "component_id")
+    rows = with_next(docs, {"spots": spots(F.coalesce(F.col("text"), F.lit("")))}, known)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "spots", "next_spots", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spots(F.col("edited")).alias("edited_spots"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", edited.alias("edited"), "component_id")
+    rows = rows.select("doc_id", "n_chars", "spots", "next_spots", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spots(F.col("edited")).alias("edited_spots"), "component_id")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
-        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"), "component_id",
     )
 
 

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, ending, give_back
+from .common import Scratch, arrow_batches, ending, fresh, give_back
 
 MOST_TRAIN, MOST_TEXTS, MOST_LANGUAGES = 800, 50_000, 500
 BINS = 1 << 16
@@ -265,23 +265,32 @@ def keeps(model: Model, text: str | None) -> bool:
     return language != UNKNOWN and not foreign
 
 
-def _filter(model: Model, schema):
+def _rejected(model: Model):
+    """doc_id and the hashes of the texts that don't stay."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        at = [f.name for f in schema].index("text")
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array([keeps(model, t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.select(["doc_id", "h1", "h2"]).filter(pa.array([not keeps(model, t) for t in batch.column(3).to_pylist()], pa.bool_()))
 
     return ending(run)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose language can be told: not null, with a letter, and not foreign to all learned languages."""
-    model = train(docs)
+    """The documents, all columns, whose language can be told: not null, with a letter, and not foreign to all learned languages.
+
+    The rejected ones, by id and two hashes of the text, are stored; texts are not written twice."""
+    model, text = train(docs), F.col("text").cast("string")
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
     with arrow_batches(docs.sparkSession):
-        return Scratch(docs.sparkSession, "identified").save(docs.mapInArrow(_filter(model, docs.schema.fields), docs.schema), "kept")
+        gone = docs.filter(text.isNotNull()).select(*key, text.alias("text")).mapInArrow(_rejected(model), "doc_id long, h1 long, h2 long")
+        gone = Scratch(docs.sparkSession, "rejected").save(gone, "keys").distinct()
+    names = [fresh(docs, f"rejected_{c}") for c in ("id", "h1", "h2")]
+    own = [F.col("doc_id").cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    same = [a.eqNullSafe(F.col(b)) for a, b in zip(own, names)]
+    return docs.filter(text.isNotNull()).join(gone.toDF(*names), same[0] & same[1] & same[2], "left_anti")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

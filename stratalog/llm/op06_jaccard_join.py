@@ -31,7 +31,7 @@ from .components import components
 POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
 SETS = "ref long, n long, unshared long, hub long, keys binary"
 #: Bytes of text for each bucket: postings take about as many, so a bucket's size does not grow with the input.
-BUCKET = 8 << 20
+BUCKET = 16 << 20
 
 
 def _pack(ref, n, count, keys) -> bytes:

@@ -44,6 +44,8 @@ ANCHORS = sorted(
 CHAIN = 2
 #: How far a spot stands for the words around it: REACH times the square of the share of spots among words, FAR at most.
 REACH, FAR = 900, 16
+#: Indexed hashes that two sets must have in common to be compared.
+SHARED = 4
 SET = "array<bigint>"
 
 
@@ -92,8 +94,9 @@ def likeness(a: Column, b: Column) -> Column:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, h (hash of the text), n_spots, component_id: documents whose signature sets have a Jaccard coefficient of percent / 100 or more are linked.
 
-    Equal sets are one from the start. As in a prefix join, a set is indexed by its first n - ceil(t n) + 1 hashes, and
-    by its length partition; candidates meet a pivot first and only then sets of other components."""
+    Equal sets are one from the start. As in a prefix join, a set is indexed by its first n - ceil(t n) + SHARED hashes, and
+    by its length partition; sets that reach the threshold have SHARED of these in common (all that it asks for, if that is
+    less). Candidates meet a pivot first and only then sets of other components."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "spotsigs")
     text = F.coalesce("text", F.lit(""))
@@ -104,30 +107,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     scratch.drop("rows")
     # Sets of similar length fall into one partition or into neighbours: each is indexed in its own and in the next. A hash
     # goes over the network once; the partitions are made where it arrives.
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    first = F.slice("spots", F.lit(1), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
+    part = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    first = F.slice("spots", F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + SHARED))
     index = sets.select("ref", "n", F.posexplode(first).alias("at", "key")).repartition("key")
-    index = index.select("ref", "n", "at", "key", F.explode(F.array(part, part + 1)).alias("part"))
+    index = index.select("ref", "n", "at", "key", F.explode(F.array(part(F.col("n")), part(F.col("n")) + 1)).alias("part"))
     group = Window.partitionBy("key", "part")
     index = index.withColumn("p", F.min(F.struct("ref", "n", "at")).over(group)).withColumn("sets", F.count("*").over(group))
     index = scratch.save(index.filter("sets > 1").drop("sets"), "index")
-    can = lambda na, nb, pa, pb: (F.least(na, nb) * 100 >= percent * F.greatest(na, nb)) & (F.least(na - pa, nb - pb) >= F.ceil(percent * (na + nb) / (100 + percent)))
+    asked = lambda na, nb: F.ceil(percent * (na + nb) / (100 + percent))  # noqa: E731  common hashes that the threshold asks for
+    near = lambda na, nb: F.least(na, nb) * 100 >= percent * F.greatest(na, nb)
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """a, b of pairs (a, b, na, nb, pa, pb, part: a meeting in one hash) that meet often enough and not too late, in the partition of the longer one."""
+        here = met.filter(near(F.col("na"), F.col("nb")) & (F.greatest(part(F.col("na")), part(F.col("nb"))) == F.col("part")))
+        # the positions of the first meeting bound what can follow it
+        often = here.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+        least = asked(F.col("na"), F.col("nb"))
+        return often.filter((F.col("k") >= F.least(F.lit(SHARED), least)) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)).select("a", "b")
+
 
     def links(pairs: DataFrame) -> DataFrame:
         own = lambda x: sets.select(F.col("ref").alias(x), F.col("spots").alias(f"s{x}"))
-        both = pairs.distinct().join(own("a"), "a").join(own("b"), "b")
+        both = pairs.join(own("a"), "a").join(own("b"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    met = index.filter((F.col("ref") != F.col("p.ref")) & can(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at")))
-    found = scratch.save(links(met.select(F.col("p.ref").alias("a"), F.col("ref").alias("b"))), "links1")
+    met = index.filter(F.col("ref") != F.col("p.ref")).select(F.col("p.ref").alias("a"), F.col("ref").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.at").alias("pa"), F.col("at").alias("pb"), "part")
+    found = scratch.save(links(candidates(met)), "links1")
     comps = components(found, scratch, "first")
     named = index.drop("p").join(comps, F.col("ref") == F.col("node"), "left").select("part", "key", "ref", "n", "at", F.coalesce("comp", "ref").alias("comp"))
     mixed = named.groupBy("part", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("part", "key")
     named = scratch.save(named.join(mixed, ["part", "key"]), "mixed")
-    side = lambda x: named.select("part", "key", F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("comp").alias(f"c{x}"))
-    cross = side("a").join(side("b"), ["part", "key"]).filter((F.col("ca") < F.col("cb")) & can(F.col("na"), F.col("nb"), F.col("ata"), F.col("atb")))
-    more = scratch.save(links(cross.select("a", "b")), "links2")
+    side = lambda x: named.select("part", "key", F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("comp").alias(f"c{x}"))
+    cross = side("a").join(side("b"), ["part", "key"]).filter(F.col("ca") < F.col("cb"))
+    more = scratch.save(links(candidates(cross)), "links2")
     for done in ("sets", "index", "mixed"):
         scratch.drop(done)
     comps = components(more, scratch, "second", known=comps)

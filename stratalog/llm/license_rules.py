@@ -136,7 +136,7 @@ UNVERSIONED = [
     ("artistic-perl", "same terms as perl", r"under the same terms as perl itself", 60),
     ("php", "php license", r"php license", 25),
     ("python", "python license", r"python license", 25),
-    ("mit", "mit", r"mit licensed", 30),
+    ("mit", "mit licensed", r"mit licensed", 30),
     ("mit", "expat", r"expat license", 45),
     ("zpl", "zope public license", r"zope public license(?: version)?(?: 2 [01])?", 50),
     ("osl", "open software license", r"open software license", 25),
@@ -218,7 +218,7 @@ BODY = [
     ("bsl-1.0", "machine executable object", r"machine executable object code generated by a source language processor", 96),
     ("unlicense", "dedicate any and all", r"dedicate any and all copyright interest in the software to the public domain", 95),
     ("cc0-1.0", "waived all copyright", r"waived all copyright and related or neighboring rights", 90),
-    ("wtfpl", "you just do what", r"you just do what the (?:fuck|f) you want to", 95),
+    ("wtfpl", "wtfpl", r"wtfpl(?: version 2)?", 55),
     ("artistic", "copyright holder maintains", r"the copyright holder maintains some semblance of artistic control", 95),
     ("ofl-1.1", "reserved font", r"(?:with )?reserved font names?", 70),
     ("ofl-1.1", "licensed under the sil", r"this font software is licensed under the sil open font license version 1 1", 97),
@@ -285,7 +285,7 @@ BODY = [
     ("trademark", "registered", r"(?:is|are) (?:a )?registered trademarks? of", 17),
 ]
 #: Words too common to signal a license by themselves.
-GENERIC = frozenset("license licence public software general version provided notice open use copy source agreement user terms material materials data free rights any for the and not under with this that other form code file work works of by in to a is it as no you your which available including other copies all".split())
+GENERIC = frozenset("license licence public software general version provided notice open use copy source agreement user terms material materials data free rights any for the and not under with this that other form code file work works of by in to a is it as no you your which available including other copies all mit what same end good share q later just information from contains particular received subject".split())
 
 
 def _spdx() -> list[tuple[str, str, str, int]]:

@@ -87,10 +87,15 @@ def _rarest(gram: DataFrame, found: DataFrame) -> DataFrame:
 
 def _by_broadcast(docs: DataFrame, gram: DataFrame, known: DataFrame, wins: DataFrame, sizes: list[int], window: int, scratch: Scratch) -> DataFrame:
     rows = _named(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("w").cast("long"))
-    # each document's first place is kept anyway, for its row
-    each = rows.select("row", *KEY, "n_words", "w", F.posexplode_outer(_places(sizes)).alias("nth", "place")).select("row", *KEY, "n_words", "w", "nth", "place.*")
+    # each document's first place is kept anyway, for its row; the hash of one size is a plain column, others are exploded
+    each = rows.select("row", *KEY, "n_words", "w", F.posexplode_outer("w").alias("at", "word")).drop("word")
+    of = lambda k: F.when(F.col("at") + k <= F.col("n_words"), _shingle(F.col("w"), F.col("at"), k))
+    if len(sizes) == 1:
+        each = each.withColumn("k", F.lit(sizes[0])).withColumn("gram", of(sizes[0]))
+    else:
+        each = each.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), of(k).alias("gram")) for k in sizes])).alias("x")).select("row", *KEY, "n_words", "w", "at", "x.*")
     side = F.broadcast(known.select(F.col("k").alias("known_k"), F.col("gram").alias("known")))
-    hit, first = F.col("known").isNotNull(), F.coalesce("nth", F.lit(0)) == 0
+    hit, first = F.col("known").isNotNull(), (F.coalesce("at", F.lit(0)) == 0) & (F.col("k") == sizes[0])
     around = F.slice("w", F.greatest(F.col("at") - (F.lit(window) - F.col("k")), F.lit(0)) + 1, 2 * window - F.col("k"))
     kept = each.join(side, (F.col("gram") == F.col("known")) & (F.col("k") == F.col("known_k")), "left").filter(hit | first)
     found = scratch.save(kept.select("row", *KEY, "n_words", "at", first.alias("first"), "k", F.when(hit, F.col("gram")).alias("gram"), F.when(hit, around).alias("around")), "places")

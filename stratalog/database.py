@@ -1,8 +1,12 @@
 """A durable, ordered key-value store on Spark: write-ahead log, memtable, levels of sorted tables, one manifest.
 
-One process writes a store. Small writes go to the log and to the memtable on the driver; ``write_df`` takes a DataFrame of
-any size straight to a sorted table. Reads bind one manifest version and a copy of the memtable, so a scan is a snapshot.
-Flush order is table, then manifest, then log: a crash at any point loses nothing and leaves no half batch.
+One process writes a store, in as many threads as it likes. Small writes go to the log and to the memtable on the driver;
+``write_df`` takes a DataFrame of any size straight to a sorted table. Reads bind one manifest version and a copy of the
+memtables, so a scan is a snapshot. Flush order is table, then manifest, then log: a crash at any point loses nothing and
+leaves no half batch.
+
+A full memtable is frozen and a new one takes its place. By default the writer then flushes and compacts itself; with
+``Params.background`` a thread of the store does, and a writer waits only if the memtable is full again before that is done.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import csv
 import threading
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +52,11 @@ class Memtable:
         return [(k, *self.entries[k]) for k in sorted(self.entries) if (low is None or k >= low) and (high is None or k <= high)]
 
 
+def _bytes():
+    """Bytes of keys and values."""
+    return F.sum((F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long"))
+
+
 class Database:
     def __init__(self, spark: SparkSession, mode: StartMode = StartMode.CREATE_OR_OPEN, params: Params | None = None):
         self.spark, self.params = spark, params or Params()
@@ -59,8 +69,11 @@ class Database:
         found = load(self.files)
         if found is None and mode is StartMode.OPEN:
             raise StorageError("there is no store at this path")
-        self._lock, self._closed, self._started = threading.RLock(), False, time.time()
+        # _lock guards memtables and the manifest's reference and is held briefly; _work is held by who changes tables
+        self._lock, self._work, self._closed, self._started = threading.RLock(), threading.RLock(), False, time.time()
         self.memtable, self._budget = Memtable(), {}
+        self.frozen: Memtable | None = None
+        self._thread, self._flushing = None, None
         if found is None:
             for folder in ("manifest", "log", "tables", "values"):
                 self.files.make(folder)
@@ -71,13 +84,17 @@ class Database:
                 raise InvalidParams("the store was made with other levels or another value layout")
             self.manifest, self.next_seq, segment = found, found.next_seq, max(found.log_floor, 1)
             for number, seq, operations in wal.replay(self.files, found.log_floor):
-                for i, (op, key, value) in enumerate(operations):
-                    self.memtable.apply(seq + i, op, key, value)
+                self._apply(seq, operations)
                 self.next_seq, segment = max(self.next_seq, seq + len(operations)), number + 1
-            for name in self.files.names(wal.FOLDER):  # a torn tail: its batches were never whole
+            for name in self.files.names(wal.FOLDER):  # a segment whose only frame was torn
                 if name.isdigit() and int(name) >= segment:
                     self.files.delete(f"{wal.FOLDER}/{name}")
-        self.log = wal.Log(self.files, segment)
+        self.log = wal.Log(self.files, segment, self._apply)
+
+    def _apply(self, first_seq: int, operations: list) -> None:
+        with self._lock:
+            for i, (op, key, value) in enumerate(operations):
+                self.memtable.apply(first_seq + i, op, key, value)
 
     # -- life cycle
 
@@ -88,10 +105,15 @@ class Database:
         self.stop()
 
     def stop(self) -> None:
-        """Brings the log to disk. The memtable is replayed from it at the next opening."""
+        """Brings the log to disk and ends the background's work. The memtable is replayed from the log at the next opening."""
         if not self._closed:
-            self.log.sync()
-            self._closed = True
+            try:
+                self._await_flush()
+            finally:
+                self.log.roll()
+                self._closed = True
+                if self._thread is not None:
+                    self._thread.shutdown()
 
     close = stop
 
@@ -118,33 +140,95 @@ class Database:
             self._open()
             if not len(batch):
                 return
-            self.log.append(self.next_seq, batch.operations, options.sync)
-            for i, (op, key, value) in enumerate(batch.operations):
-                self.memtable.apply(self.next_seq + i, op, key, value)
+            entry = self.log.enqueue(self.next_seq, batch.operations, options.sync)
             self.next_seq += len(batch)
-            if self.memtable.size >= self.params.max_memtable_size:
-                self.flush()
-                self.compact()
+        self.log.commit(entry)
+        if self.memtable.size >= self.params.max_memtable_size:
+            self._rotate()
 
     write_opts = write
 
+    def _rotate(self) -> None:
+        """The memtable is full: it is flushed, and what is due is compacted."""
+        if not self.params.background:
+            with self._work:
+                if self.memtable.size >= self.params.max_memtable_size:
+                    self._flush_now()
+                    self.compact()
+            return
+        self._await_flush()
+        with self._lock:
+            if self._flushing is None and self.memtable.size >= self.params.max_memtable_size:
+                if self._thread is None:
+                    self._thread = ThreadPoolExecutor(1, "stratalog-flush")
+                frozen = threading.Event()
+                self._flushing = self._thread.submit(self._in_background, frozen)
+            else:
+                return
+        frozen.wait()
+
+    def _in_background(self, frozen: threading.Event) -> None:
+        try:
+            with self._work:
+                if self.frozen is not None:  # what a flush that failed has left
+                    self._flush_frozen()
+                self._freeze()
+                frozen.set()
+                self._flush_frozen()
+                self.compact()
+        finally:
+            frozen.set()
+
+    def _await_flush(self) -> None:
+        """Waits for the background; its failure is the caller's."""
+        if (running := self._flushing) is not None:
+            try:
+                running.result()
+            finally:
+                with self._lock:
+                    if self._flushing is running:
+                        self._flushing = None
+
     def write_df(self, operations: DataFrame) -> None:
         """Applies a DataFrame of operations (ord from 0, key, op, value) as one batch: one sorted level-0 table, no log."""
-        with self._lock:
-            self._open()
-            self.flush()
-            top, count = operations.agg(F.max("ord"), F.count("*")).first()
+        self._await_flush()
+        with self._work:
+            self._flush_now()
+            self._bulk(operations)
+
+    def _bulk(self, operations: DataFrame) -> None:
+        top, count, size = operations.agg(F.max("ord"), F.count("*"), _bytes()).first()
+        if count:
+            with self._lock:
+                base, self.next_seq = self.next_seq, self.next_seq + top + 1
+            self._add_table(latest(assign_sequence(operations, base)), count, size)
+            self.compact()
+
+    def write_entries(self, entries: DataFrame) -> None:
+        """Adds entries (key, seq, op, value) that bring their own sequence numbers, from 0, in whatever order they arrive.
+
+        Numbers count from the store's own at the first call, so that entries lose to and win over each other by them alone
+        and win over all that was written before; what is written later by other ways wins over all entries so far. Such a
+        store keeps its deletions: one that is gone couldn't hide an older version that arrives late. Entries that are
+        added again change nothing."""
+        self._await_flush()
+        with self._work:
+            self._flush_now()
+            top, count, size = entries.agg(F.max("seq"), F.count("*"), _bytes()).first()
             if not count:
                 return
-            entries = latest(assign_sequence(operations, self.next_seq))
-            self.next_seq += top + 1
-            self._add_table(entries, count)
+            with self._lock:
+                base = self.manifest.source_base if self.manifest.source_base is not None else self.next_seq
+                self.manifest = replace(self.manifest, source_base=base)  # committed with the table
+                self.next_seq = max(self.next_seq, base + top + 1)
+            value = F.when(F.col("op") == PUT, F.col("value"))
+            numbered = entries.select("key", (F.col("seq").cast("long") + F.lit(base).cast("long")).alias("seq"), F.col("op").cast("byte").alias("op"), value.alias("value"))
+            self._add_table(latest(numbered), count, size)
             self.compact()
 
     def synchronize(self) -> None:
         """Brings earlier writes that did not wait to disk."""
-        with self._lock:
-            self.log.sync()
+        self.log.sync()
 
     # -- reads
 
@@ -153,6 +237,8 @@ class Database:
         with self._lock:
             self._open()
             recent, tables = self.memtable.rows(low, high), list(self.manifest.tables)
+            if self.frozen is not None:
+                recent = self.frozen.rows(low, high) + recent
         stored = read_tables(self.spark, tables, low, high)
         if not recent:
             return stored
@@ -165,21 +251,28 @@ class Database:
         return sep.dereference(rows, read_values(self.spark, self._folder("values"), self.manifest.batches)).select("key", "value")
 
     def get(self, key: bytes) -> bytes | None:
-        """The key's value. The memtable answers without a job; else one job reads the tables whose range holds the key."""
+        """The key's value. The memtables answer without a job, newest first; else one job reads the tables whose range holds
+        the key (Parquet's statistics and Bloom filters leave out most of their rows), and a second one, by batch and offset,
+        a value that is stored apart."""
         with self._lock:
             self._open()
-            if (hit := self.memtable.entries.get(bytes(key))) is not None:
-                return hit[2] if hit[1] == PUT else None
+            for table in (self.memtable, self.frozen):
+                if table is not None and (hit := table.entries.get(bytes(key))) is not None:
+                    return hit[2] if hit[1] == PUT else None
             probed = prune(self.manifest.tables, key, key)
         if not probed:
             return None
-        found = self._values(ops.get(read_tables(self.spark, probed), key)).first()
+        found = ops.get(read_tables(self.spark, probed), key).first()
+        if found is not None and found["batch_id"] is not None:
+            found = sep.value_at(read_values(self.spark, self._folder("values"), (found["batch_id"],)), found["offset"]).first()
         self._sought(probed)
         return bytes(found["value"]) if found else None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        """key, value, found for each distinct key asked for."""
-        found = ops.multi_get(self.entries(), keys)
+        """key, value, found for each distinct key asked for; tables outside the keys' range are left out."""
+        low, high = keys.agg(F.min("key"), F.max("key")).first()
+        bounds = (None, None) if low is None else (bytes(low), bytes(high))
+        found = ops.multi_get(self.entries(*bounds), keys)
         return sep.dereference(found, read_values(self.spark, self._folder("values"), self.manifest.batches)) if self.params.separate_values else found.drop("batch_id", "offset")
 
     def scan(self) -> DataFrame:
@@ -220,44 +313,70 @@ class Database:
     def _folder(self, name: str) -> str:
         return f"{self.files.root}/{name}"
 
-    def _add_table(self, entries: DataFrame, count: int) -> None:
-        """One level-0 table (and value batch) of resolved entries, and the commit that makes it visible."""
+    def _commit(self, change) -> None:
+        """Publishes what change makes of the manifest."""
+        with self._lock:
+            self.manifest = commit(self.files, change(self.manifest))
+
+    def _add_table(self, entries: DataFrame, count: int, size: int, floor: int | None = None) -> None:
+        """One level-0 table (and value batch) of resolved entries, and the commit that makes it visible. floor: the log below it is in tables."""
         m = self.manifest
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in STORED.fields[4:]]
-        batches = m.batches
-        if self.params.separate_values:
+        apart = self.params.separate_values
+        if apart:
             numbered = entries.withColumn("offset", F.monotonically_increasing_id())  # a place, not an order
             path = self._folder(f"values/.staged-{m.next_batch}")
             numbered.write.mode("overwrite").parquet(path)
             numbered = self.spark.read.parquet(path)
-            write_values(numbered.filter(F.col("op") == PUT), self._folder("values"), m.next_batch, self.params)
+            write_values(numbered.filter(F.col("op") == PUT), self._folder("values"), m.next_batch, self.params, size)
             put = F.col("op") == PUT
             entries = numbered.select("key", "seq", "op", F.lit(None).cast("binary").alias("value"), F.when(put, F.lit(m.next_batch)).cast("long").alias("batch_id"), F.when(put, F.col("offset")).alias("offset"))
-            batches = (*m.batches, m.next_batch)
         else:
             entries = entries.select("key", "seq", "op", "value", *none)
-        table = write_table(entries, self._folder(f"tables/{m.next_table}"), m.next_table, 0, self.params, count)
+        table = write_table(entries, self._folder(f"tables/{m.next_table}"), m.next_table, 0, self.params, count, size)
         self.files.delete(f"values/.staged-{m.next_batch}")
         if table is not None:
-            new = m.with_tables(add=[table])
-            self.manifest = commit(self.files, replace(new, next_table=m.next_table + 1, next_batch=m.next_batch + (batches != m.batches), batches=batches, next_seq=self.next_seq, log_floor=self.log.next_segment))
+            floor = m.log_floor if floor is None else floor
+            batches = (*m.batches, m.next_batch) if apart else m.batches
+            self._commit(lambda now: replace(now.with_tables(add=[table]), next_table=m.next_table + 1, next_batch=m.next_batch + apart, batches=batches, next_seq=self.next_seq, log_floor=floor))
             self._log_levels()
 
+    def _freeze(self) -> None:
+        """The memtable becomes the frozen one; the log goes on in a new segment, so that older ones hold the frozen one alone."""
+
+        def swap(next_segment: int) -> None:
+            with self._lock:
+                self._floor, self.frozen, self.memtable = next_segment, self.memtable, Memtable()
+
+        self.log.roll(swap)
+
+    def _flush_frozen(self) -> None:
+        rows = self.frozen.rows()
+        if rows:
+            self._add_table(frame_of(self.spark, rows), len(rows), self.frozen.size, self._floor)
+            self.log.truncate(self.manifest.log_floor)
+        with self._lock:
+            self.frozen = None
+
     def flush(self) -> bool:
         """Memtable to a level-0 table; then the log is cut."""
-        with self._lock:
-            self._open()
-            if not self.memtable.entries:
-                return False
-            rows = self.memtable.rows()
-            self._add_table(frame_of(self.spark, rows), len(rows))
-            self.log.truncate(self.manifest.log_floor)
-            self.memtable = Memtable()
-            return True
+        self._await_flush()
+        with self._work:
+            return self._flush_now()
+
+    def _flush_now(self) -> bool:
+        self._open()
+        if self.frozen is not None:  # what a flush that failed has left
+            self._flush_frozen()
+        if not self.memtable.entries:
+            return False
+        self._freeze()
+        self._flush_frozen()
+        return True
 
     def compact_once(self) -> Plan | None:
         """One step: a move, which edits the manifest alone, or a merge into one table of the next level."""
-        with self._lock:
+        with self._work:
             self._open()
             m = self.manifest
             plan = pick(list(m.tables), m.num_levels, m.cursor, {t for t, left in self._budget.items() if left <= 0})
@@ -267,16 +386,16 @@ class Database:
             for t in plan.parents:
                 self._budget.pop(t.table_id, None)
             if plan.moves:
-                self.manifest = commit(self.files, replace(m.with_tables([moved(plan)], [*plan.parents]), cursor=cursor))
+                self._commit(lambda now: replace(now.with_tables([moved(plan)], [*plan.parents]), cursor=cursor))
             else:
                 old = [*plan.parents, *plan.children]
                 ids, low, high = {t.table_id for t in old}, min(t.min_key for t in old), max(t.max_key for t in old)
                 below = any(t.level > plan.level + 1 and t.overlaps(low, high) for t in m.tables)
                 above = any(t.table_id not in ids and t.level <= plan.level + 1 and t.overlaps(low, high) for t in m.tables)
                 # A deletion may go only if no other table could hold an older version of its key.
-                merged = merge(read_tables(self.spark, old), drop_deletions=not below and not above)
-                table = write_table(merged, self._folder(f"tables/{m.next_table}"), m.next_table, plan.level + 1, self.params, sum(t.num_entries for t in old))
-                self.manifest = commit(self.files, replace(m.with_tables([table] if table else [], old), next_table=m.next_table + 1, cursor=cursor))
+                merged = merge(read_tables(self.spark, old), drop_deletions=not below and not above and m.source_base is None)
+                table = write_table(merged, self._folder(f"tables/{m.next_table}"), m.next_table, plan.level + 1, self.params, sum(t.num_entries for t in old), sum(t.size_bytes for t in old))
+                self._commit(lambda now: replace(now.with_tables([table] if table else [], old), next_table=m.next_table + 1, cursor=cursor))
             self._log_levels()
             return plan
 
@@ -289,7 +408,7 @@ class Database:
 
     def vacuum(self) -> list[str]:
         """Deletes table and value folders that the current manifest doesn't name. Scans that bound an older one must be over."""
-        with self._lock:
+        with self._work:
             named = {t.path.rpartition("/")[2] for t in self.manifest.tables}
             gone = [f"tables/{n}" for n in self.files.names("tables") if n not in named]
             gone += [f"values/{n}" for n in self.files.names("values") if n not in {f"batch_id={b}" for b in self.manifest.batches}]
@@ -299,11 +418,12 @@ class Database:
 
     def collect_garbage(self) -> dict[int, str]:
         """Drops value batches without live values and rewrites sparse ones through the normal write path."""
-        with self._lock:
+        self._await_flush()
+        with self._work:
             self._open()
             if not self.params.separate_values:
                 return {}
-            self.flush()
+            self._flush_now()
             values, entries = read_values(self.spark, self._folder("values"), self.manifest.batches), self.entries()
             actions = {r["batch_id"]: r["action"] for r in sep.garbage(sep.batch_liveness(values, entries)).collect()}  # a row for each batch
             sparse = [b for b, a in actions.items() if a == "rewrite"]
@@ -313,11 +433,11 @@ class Database:
                 kept.select("key", "value").write.mode("overwrite").parquet(path)
                 again = self.spark.read.parquet(path)
                 # the keys differ, so one sequence number serves them all
-                self.write_df(again.select(F.lit(0).cast("long").alias("ord"), "key", F.lit(PUT).cast("byte").alias("op"), "value"))
+                self._bulk(again.select(F.lit(0).cast("long").alias("ord"), "key", F.lit(PUT).cast("byte").alias("op"), "value"))
                 self.files.delete("values/.rewrite")
             if actions:
                 left = tuple(b for b in self.manifest.batches if b not in actions)
-                self.manifest = commit(self.files, replace(self.manifest, batches=left))
+                self._commit(lambda now: replace(now, batches=left))
             return actions
 
     def _sought(self, probed) -> None:

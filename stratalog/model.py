@@ -67,7 +67,8 @@ class Params:
 
     ``path`` must be reachable by driver and executors. ``max_open_files`` and ``block_restart_interval`` are accepted and
     have no effect: Parquet and the operating system's page cache do their work. ``compaction_concurrency`` bounds nothing
-    here, because one merge is one Spark job whose tasks run in parallel. The defaults of sizes and counts are fixed values.
+    here, because one merge is one Spark job whose tasks run in parallel. ``background``: a thread of the store flushes full
+    memtables and compacts, so that writers go on meanwhile. The defaults of sizes and counts are fixed values.
     """
 
     path: str = "./storage.strata"
@@ -82,6 +83,7 @@ class Params:
     separate_values: bool = False
     compression: str = "snappy"
     bloom_filters: bool = True
+    background: bool = False
 
     def check(self) -> None:
         if not str(self.path).strip():

@@ -27,6 +27,11 @@ def dereference(rows: DataFrame, values: DataFrame) -> DataFrame:
     return joined.withColumn("value", F.coalesce("value", "_stored")).drop("_stored", "batch_id", "offset")
 
 
+def value_at(values: DataFrame, offset: int) -> DataFrame:
+    """The value at one place of a batch; the equality reaches the scan."""
+    return values.filter(F.col("offset") == F.lit(offset)).select("value")
+
+
 def dead_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """batch_id, offset, key of values that no live key refers to."""
     return values.select("batch_id", "offset", "key").join(references(entries), ["batch_id", "offset"], "left_anti")

@@ -7,6 +7,24 @@ from pyspark.sql import SparkSession
 from ..model import StorageError
 
 
+class Appender:
+    def __init__(self, stream):
+        self._stream = stream
+        self._syncs = stream.hasCapability("hsync")
+
+    def write(self, data: bytes) -> None:
+        self._stream.write(bytearray(data))
+
+    def sync(self) -> bool:
+        """Brings the file's bytes to disk; False if that takes closing it."""
+        if self._syncs:
+            self._stream.hsync()
+        return self._syncs
+
+    def close(self) -> None:
+        self._stream.close()
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -40,20 +58,27 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, data: bytes, sync: bool = True):
-        """Writes a new file. Without sync the open stream is returned, for a later ``finish``."""
+    def write(self, name: str, data: bytes) -> None:
+        """Writes a new file and brings it to disk."""
         stream = self.fs.create(self._path(name), True)
         stream.write(bytearray(data))
-        if not sync:
-            return stream
-        self.finish(stream)
-        return None
-
-    @staticmethod
-    def finish(stream) -> None:
         stream.hsync()
         stream.close()
 
+    def replace(self, name: str, data: bytes) -> None:
+        """Puts a file in the place of another; either is there whole."""
+        folder, _, base = name.rpartition("/")
+        self.write(f"{folder}/.{base}.new", data)
+        self.delete(name)
+        self.fs.rename(self._path(f"{folder}/.{base}.new"), self._path(name))
+
+    def appender(self, name: str) -> Appender:
+        """A new file that is written bit by bit."""
+        fs = self.fs
+        if self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.ChecksumFileSystem").isInstance(fs):
+            fs = fs.getRawFileSystem()  # its checksums are written by whole chunks, so a sync would leave a tail behind
+        return Appender(fs.create(self._path(name), True))
+
     def publish(self, name: str, data: bytes) -> None:
         """Makes a file appear whole or not at all; fails if it exists."""
         if self.exists(name):

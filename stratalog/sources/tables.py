@@ -1,5 +1,5 @@
-"""Sorted tables: Parquet sorted by key, with a Bloom filter on it. A small table is one file; a large one is a folder of
-files with key ranges that don't overlap."""
+"""Sorted tables: Parquet sorted by key, with keys delta-encoded against their predecessors and a Bloom filter on them. A small
+table is one file; a large one is a folder of files with key ranges that don't overlap."""
 
 from __future__ import annotations
 
@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 from ..model import STORED, VALUES, Params
 from ..operators.compaction import Table, prune
 
-#: Entries of one sorted file; more are split by key range.
-FILE_ENTRIES = 1 << 20
+#: Entries and bytes of keys and values of one file; more are split by key range (values: by offset).
+FILE_ENTRIES, FILE_BYTES = 1 << 20, 256 << 20
 
 
-def _sorted(entries: DataFrame, count: int) -> DataFrame:
-    files = max(1, -(-count // FILE_ENTRIES))
+def _files(count: int, size: int) -> int:
+    return max(1, -(-count // FILE_ENTRIES), -(-size // FILE_BYTES))
+
+
+def _sorted(entries: DataFrame, files: int) -> DataFrame:
     parts = entries.coalesce(1) if files == 1 else entries.repartitionByRange(files, "key")
     return parts.sortWithinPartitions("key", "seq")
 
 
-def write_table(entries: DataFrame, path: str, table_id: int, level: int, params: Params, count: int) -> Table | None:
-    """Writes entries (the STORED schema) as one sorted table; None if there are none. count: about how many there are."""
+def write_table(entries: DataFrame, path: str, table_id: int, level: int, params: Params, count: int, size: int = 0) -> Table | None:
+    """Writes entries (the STORED schema) as one sorted table; None if there are none. count, size: about how many there are, and their bytes."""
     spark = entries.sparkSession
-    writer = _sorted(entries, count).write.mode("overwrite").option("compression", params.compression).option("parquet.page.row.count.limit", params.max_key_block_size)
+    writer = _sorted(entries, _files(count, size)).write.mode("overwrite").option("compression", params.compression).option("parquet.page.row.count.limit", params.max_key_block_size)
+    # version 2 writes keys as lengths of common prefixes and suffixes, if no dictionary is tried first
+    writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#key", "false")
     if params.bloom_filters:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", max(count, 1))
     writer.parquet(path)
@@ -38,8 +43,11 @@ def read_tables(spark: SparkSession, tables: list[Table], low: bytes | None = No
     return spark.read.schema(STORED).parquet(*paths) if paths else spark.createDataFrame([], STORED)
 
 
-def write_values(values: DataFrame, folder: str, batch_id: int, params: Params) -> None:
-    values.select("offset", "key", "value").coalesce(1).sortWithinPartitions("offset").write.mode("overwrite").option("compression", params.compression).parquet(f"{folder}/batch_id={batch_id}")
+def write_values(values: DataFrame, folder: str, batch_id: int, params: Params, size: int = 0) -> None:
+    """One value batch, sorted by offset; size: about how many bytes there are."""
+    rows, files = values.select("offset", "key", "value"), _files(0, size)
+    parts = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, "offset")
+    parts.sortWithinPartitions("offset").write.mode("overwrite").option("compression", params.compression).parquet(f"{folder}/batch_id={batch_id}")
 
 
 def read_values(spark: SparkSession, folder: str, batches: tuple[int, ...]) -> DataFrame:

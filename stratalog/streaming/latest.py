@@ -1,10 +1,11 @@
 """Change streams: the newest version of each key, kept by the state store, and ingestion into a store.
 
-Order is by sequence number, so late entries with a lower one lose by themselves and no watermark is needed."""
+Order is by sequence number, which stays with an entry in the store, so entries that arrive late with a lower one lose by
+themselves and no watermark is needed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,13 +21,12 @@ def latest_stream(entries: DataFrame) -> DataFrame:
 
 
 def ingest(entries: DataFrame, database: Database, checkpoint: str) -> StreamingQuery:
-    """Writes a stream of changes (key, seq, op, value) to a store, one batch of operations for each micro-batch, in the order of seq.
+    """Writes a stream of changes (key, seq, op, value) to a store, with the sequence numbers that they bring (see ``Database.write_entries``).
 
-    A micro-batch that is delivered again writes its operations again, in the same order, which leaves the same state."""
+    A late change loses to a newer one whatever the order of micro-batches, and a micro-batch that is delivered again adds
+    the same entries with the same numbers, which changes nothing: neither what came after it nor what was written since."""
 
     def write(batch: DataFrame, _: int) -> None:
-        newest = F.row_number().over(Window.partitionBy("key").orderBy(F.col("seq").desc()))
-        resolved = batch.withColumn("_nth", newest).filter("_nth = 1")
-        database.write_df(resolved.select(F.lit(0).cast("long").alias("ord"), "key", "op", "value"))
+        database.write_entries(batch.select("key", "seq", "op", "value"))
 
     return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

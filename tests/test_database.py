@@ -1,6 +1,8 @@
 """The store end to end: durability, maintenance and value separation."""
 
 import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,152 @@ def test_streams(spark, tmp_path):
     db = Database(spark, NEW, params(tmp_path))
     ingest(stream, db, str(tmp_path / "c2")).awaitTermination(120)
     assert list(db.iter()) == [(b"b", b"2")]
+
+
+def test_many_unsynced_puts_hold_one_file(spark, tmp_path):
+    db = Database(spark, NEW, params(tmp_path))
+    jvm = spark._jvm.java.lang.management.ManagementFactory.getOperatingSystemMXBean()
+    db.put(b"0", b"first", WriteOptions(sync=True))
+    before = jvm.getOpenFileDescriptorCount()
+    for i in range(20_000):
+        db.put(b"%d" % i, b"some_string_%d" % i, WriteOptions(sync=False))
+    assert jvm.getOpenFileDescriptorCount() - before < 20
+    assert all(db.get(b"%d" % i) == b"some_string_%d" % i for i in range(0, 20_000, 97))
+    db.synchronize()
+    assert len([n for n in os.listdir(tmp_path / "store" / "log") if n.isdigit()]) == 1
+    again = Database(spark, StartMode.OPEN, db.params)  # what was synchronised is there without a stop
+    assert again.next_seq == 20_002 and again.get(b"19999") == b"some_string_19999"
+    db.stop()
+
+
+def test_segments_roll_and_replay_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wal, "SEGMENT_BYTES", 200)
+    db = Database(spark, NEW, params(tmp_path))
+    for i in range(50):
+        db.put(b"k%d" % (i % 7), b"v%d" % i)
+    db.stop()
+    names = sorted(n for n in os.listdir(tmp_path / "store" / "log") if n.isdigit())
+    assert len(names) > 5
+    assert Database(spark, StartMode.OPEN, db.params).memtable.entries[b"k0"][2] == b"v49"
+    (tmp_path / "store" / "log" / names[3]).unlink()  # what follows a gap never happened
+    assert Database(spark, StartMode.OPEN, db.params).next_seq < 50
+    assert sorted(n for n in os.listdir(tmp_path / "store" / "log") if n.isdigit()) == names[:3]
+
+
+def test_threads_commit_in_groups(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = Database(spark, NEW, params(tmp_path))
+    syncs, flush = [], db.log._flush
+    db.log._flush = lambda sync: (syncs.append(sync), time.sleep(0.005), flush(sync))
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda i: db.write(WriteBatch().put(b"t%03d" % i, b"%d" % i).put(b"last", b"%d" % i)), range(200)))
+    assert len(syncs) < 150
+    again = Database(spark, StartMode.OPEN, db.params)
+    assert again.memtable.entries == db.memtable.entries and len(db.memtable.entries) == 201 and db.next_seq == 401
+    db.stop()
+
+
+@pytest.mark.parametrize("background", [False, True])
+def test_random_operations_against_a_dictionary(spark, tmp_path, background):
+    rnd = random.Random(6)
+    p, want = params(tmp_path, max_memtable_size=20_000, background=background), {}
+    db = Database(spark, NEW, p)
+    for k in range(700):
+        key = b"key%d" % rnd.randrange(300)
+        if rnd.random() < 0.2:
+            db.delete(key, WriteOptions(sync=False))
+            want.pop(key, None)
+        else:
+            want[key] = rnd.randbytes(rnd.choice([0, 1, 100, 100, 5_000 if k % 50 == 0 else 10]))
+            db.put(key, want[key], WriteOptions(sync=k % 10 == 0))
+        if k % 100 == 99:
+            db.synchronize()
+            some = rnd.choice(sorted(want))
+            assert db.get(some) == want[some]
+    assert list(db.iter()) == sorted(want.items()) and list(db.reverse_iter()) == sorted(want.items(), reverse=True)
+    assert sum(db.manifest.level_counts()) > 0
+    asked = spark.createDataFrame([(bytearray(b"key%d" % i),) for i in range(300)], "key binary")
+    assert {bytes(r.key): bytes(r.value) for r in db.multi_get(asked).collect() if r.found} == want
+    db.stop()
+    assert list(Database(spark, StartMode.OPEN, p).iter()) == sorted(want.items())
+
+
+def test_large_and_variable_entries(spark, tmp_path):
+    db = Database(spark, NEW, params(tmp_path))
+    big = random.Random(1).randbytes(6 << 20)  # larger than a memtable
+    db.put(b"big", big)
+    assert not db.memtable.entries and db.get(b"big") == big
+    for i in range(40):
+        db.put(b"v%d" % i, b"x" * i * 100, WriteOptions(sync=False))
+    assert [len(v) for _, v in db.range_iter(b"v0", b"w")] == [i * 100 for i in sorted(range(40), key=lambda i: b"v%d" % i)]
+    db.stop()
+
+
+def change(spark, *rows):
+    return spark.createDataFrame([(bytearray(k), s, o, None if v is None else bytearray(v)) for k, s, o, v in rows], "key binary, seq long, op byte, value binary")
+
+
+def test_late_and_repeated_changes_lose(spark, tmp_path):
+    db = Database(spark, NEW, params(tmp_path))
+    db.put(b"z", b"before the stream")
+    first = change(spark, (b"a", 10, 1, b"new"), (b"b", 11, 2, None), (b"c", 1, 1, b"c1"), (b"z", 0, 1, b"of the stream"))
+    db.write_entries(first)
+    db.write_entries(change(spark, (b"a", 5, 1, b"OLD"), (b"b", 6, 1, b"OLD"), (b"c", 12, 1, b"c12")))
+    want = [(b"a", b"new"), (b"c", b"c12"), (b"z", b"of the stream")]
+    assert list(db.iter()) == want
+    db.put(b"a", b"written since")
+    db.write_entries(first)  # delivered again
+    want[0] = (b"a", b"written since")
+    assert list(db.iter()) == want
+    for i in range(5):  # compaction must not forget that b was deleted
+        db.write_entries(change(spark, (b"d", 20 + i, 1, b"d"), (b"b", 2 + i, 1, b"OLD")))
+    while db.compact_once():
+        pass
+    db.stop()
+    again = Database(spark, StartMode.OPEN, db.params)
+    again.write_entries(change(spark, (b"b", 7, 1, b"OLD"), (b"c", 2, 1, b"OLD")))
+    assert list(again.iter()) == [*want[:2], (b"d", b"d"), want[2]]
+
+
+def test_stream_with_late_micro_batches(spark, tmp_path):
+    schema, src = "key binary, seq long, op byte, value binary", tmp_path / "src"
+    db = Database(spark, NEW, params(tmp_path))
+    for rows in ([(b"a", 10, 1, b"new"), (b"b", 3, 1, b"b")], [(b"a", 5, 1, b"OLD"), (b"b", 4, 2, None)]):
+        change(spark, *rows).write.mode("append").parquet(str(src))
+        ingest(spark.readStream.schema(schema).parquet(str(src)), db, str(tmp_path / "cp")).awaitTermination(120)
+    ingest(spark.readStream.schema(schema).parquet(str(src)), db, str(tmp_path / "cp2")).awaitTermination(120)  # all of it again
+    assert list(db.iter()) == [(b"a", b"new")]
+
+
+def footer(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{next(folder.rglob('*.parquet'))}")
+    file = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration())
+    reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        return {c.getPath().toDotString(): (c.getEncodings().toString(), c.getBloomFilterOffset()) for c in reader.getFooter().getBlocks()[0].getColumns()}
+    finally:
+        reader.close()
+
+
+def test_tables_have_prefixes_and_bloom_filters(spark, tmp_path):
+    db = Database(spark, NEW, params(tmp_path))
+    db.write_df(batch(spark, 5000, "v"))
+    encodings, bloom = footer(spark, tmp_path / "store" / "tables")["key"]
+    assert "DELTA_BYTE_ARRAY" in encodings and bloom > 0
+    off = Database(spark, NEW, params(tmp_path, bloom_filters=False))
+    off.write_df(batch(spark, 100, "v"))
+    assert footer(spark, tmp_path / "store" / "tables")["key"][1] <= 0 and off.get(b"key_00042") == b"v42"
+
+
+def test_values_are_looked_up_by_place(spark, tmp_path, monkeypatch):
+    from stratalog.operators import values
+    from stratalog.sources import tables
+
+    monkeypatch.setattr(tables, "FILE_BYTES", 10_000)
+    db = Database(spark, NEW, params(tmp_path, separate_values=True))
+    db.write_df(batch(spark, 3000, "some value "))
+    assert len(list((tmp_path / "store" / "values").rglob("*.parquet"))) > 3  # a large batch is several files
+    assert db.get(b"key_01234") == b"some value 1234" and db.get(b"nothing") is None
+    plan = values.value_at(tables.read_values(spark, db._folder("values"), db.manifest.batches), 7)._jdf.queryExecution().toString()
+    assert "EqualTo(offset,7)" in plan and "Join" not in plan

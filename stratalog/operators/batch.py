@@ -9,8 +9,12 @@ from ..model import ENTRY, WriteBatch
 
 
 def frame_of(spark: SparkSession, entries: list[tuple]) -> DataFrame:
-    """Entries (key, seq, op, value) of the driver as a DataFrame."""
-    return spark.createDataFrame([(bytearray(k), s, o, None if v is None else bytearray(v)) for k, s, o, v in entries], ENTRY)
+    """Entries (key, seq, op, value) of the driver as a DataFrame; they go over as Arrow columns."""
+    import pyarrow as pa
+
+    kinds = (pa.binary(), pa.int64(), pa.int8(), pa.binary())
+    columns = list(zip(*entries)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=ENTRY.names), ENTRY)
 
 
 def batch_frame(spark: SparkSession, batch: WriteBatch) -> DataFrame:

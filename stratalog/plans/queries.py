@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..database import Database
 from ..functions import bigint_key, decode_bigint, decode_text, padded_key, text_key
-from ..model import DELETE, PUT, InvalidParams, Params, StartMode, WriteBatch
+from ..model import DELETE, PUT, InvalidParams, Params, StartMode, WriteBatch, WriteOptions
 from ..operators import batch, compaction, scans, values
 from ..operators.resolve import latest, live
 from ..sources.manifest import Manifest, tables_frame
+from ..streaming import ingest
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -346,6 +347,145 @@ def level_stats(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(db.manifest.level_counts())), "level int, n_tables long")
 
 
+def _spread(spark, sf_dir, n: int) -> tuple[list[compaction.Table], int, int]:
+    """n tables by key range that hold all orders, and the least and greatest order key."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey")
+    low, high = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return ([], 0, 0) if low is None else (list(_tables(o, F.floor((F.col("o_orderkey") - low) * n / (high - low + 1)))), low, high)
+
+
+def move_all_tables(spark, sf_dir):
+    """Tables of each level after every compaction step of a hundred disjoint tables that hold all orders."""
+    tables, out, step = _spread(spark, sf_dir, 100)[0], [], 0
+    while plan := compaction.pick(tables, 2):  # two levels: the lower one takes all
+        tables = [compaction.moved(plan) if t.table_id == plan.parents[0].table_id else t for t in tables]
+        step += 1
+        out += [(step, level, sum(t.level == level for t in tables)) for level in (0, 1)]
+    return spark.createDataFrame(out, "step int, level int, n_tables long")
+
+
+def prune_all_tables(spark, sf_dir):
+    """Of two hundred tables that hold all orders, those that may hold a key of the middle half of the key range."""
+    tables, low, high = _spread(spark, sf_dir, 200)
+    first, last = low + (high - low) // 4, low + 3 * (high - low) // 4
+    kept = compaction.prune(tables, b"order_%08d" % first, b"order_%08d" % last)
+    return tables_frame(spark, Manifest(tables=tuple(kept))).select("table_id", decode_text("min_key").alias("min_key"), decode_text("max_key").alias("max_key"), "num_entries")
+
+
+def range_scan_gaps(spark, sf_dir):
+    """The middle half of all orders under keys 250 apart; every tenth is deleted, and the bounds lie in gaps."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    low, high = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    k = F.col("o_orderkey")
+    key = padded_key("order_", 250 * k, 12)
+    log = _entries(o, key, k, PUT, F.col("o_orderstatus")).unionByName(_entries(o.filter(k % 10 == 0), key, k + 10**9, DELETE, None))
+    first, last = (250 * x + 7 for x in (low + (high - low) // 4, low + 3 * (high - low) // 4)) if low is not None else (0, 1)
+    return _text(_pos(scans.range_scan(log, b"order_%012d" % first, b"order_%012d" % last), width=14), "pos")
+
+
+def _order_store(spark, sf_dir, **more) -> Database:
+    db = _store(spark, **more)
+    for part in _by_steps(order_log(spark, sf_dir)):
+        db.write_df(part)
+    return db
+
+
+ASKED = [1, 3, 10, 303, 310, 1151, 99_999_999]
+
+
+def store_get(spark, sf_dir):
+    """Point lookups through a store of tables, with one key overwritten and one deleted in the memtable."""
+    db = _order_store(spark, sf_dir)
+    db.write(WriteBatch().put(b"order_00000003", b"in the memtable").delete(b"order_00001151"))
+    found = [(k, db.get(k)) for k in (b"order_%08d" % x for x in ASKED)]
+    return spark.createDataFrame([(k.decode(), None if v is None else v.decode(), v is not None) for k, v in found], "key string, value string, found boolean")
+
+
+def store_get_separate(spark, sf_dir):
+    """The same lookups with values stored apart, each by its place."""
+    db = _order_store(spark, sf_dir, separate_values=True)
+    found = [(k, db.get(k)) for k in (b"order_%08d" % x for x in ASKED)]
+    return spark.createDataFrame([(k.decode(), None if v is None else v.decode(), v is not None) for k, v in found], "key string, value string, found boolean")
+
+
+def store_multi_get(spark, sf_dir):
+    keys = _read(spark, sf_dir, "customer").select(padded_key("order_", "c_custkey", 8).alias("key"))
+    return _text(_order_store(spark, sf_dir).multi_get(keys), "found")
+
+
+def store_separate_scan(spark, sf_dir):
+    """The order log with values stored apart, garbage collected, reopened and scanned in reverse."""
+    db = _order_store(spark, sf_dir, separate_values=True)
+    db.collect_garbage()
+    db.vacuum()
+    db.stop()
+    return _text(Database(spark, StartMode.OPEN, db.params).reverse_scan())
+
+
+def store_garbage(spark, sf_dir):
+    """What garbage collection does to the batches of all parts' values, all but each tenth overwritten, the rest deleted."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    db, k = _store(spark, separate_values=True), F.col("p_partkey")
+    rows = lambda op, value, keep: p.filter(keep).select(k.alias("ord"), padded_key("part_", "p_partkey", 8).alias("key"), F.lit(op).cast("byte").alias("op"), text_key(value).alias("value"))
+    for op, value, keep in ((PUT, F.col("p_name"), F.lit(True)), (PUT, F.col("p_brand"), k % 10 != 0), (PUT, F.col("p_name"), k % 10 > 1), (DELETE, F.lit(""), k % 10 == 0)):
+        db.write_df(rows(op, value, keep))
+    return spark.createDataFrame(sorted(db.collect_garbage().items()), "batch_id long, action string")
+
+
+def store_layers(spark, sf_dir):
+    """A range of a store whose versions lie in two tables, a memtable that was flushed, and the memtable."""
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    db, k = _store(spark), F.col("s_suppkey")
+    rows = lambda value, keep: s.filter(keep).select(k.alias("ord"), padded_key("supp_", "s_suppkey", 8).alias("key"), F.lit(PUT).cast("byte").alias("op"), text_key(value).alias("value"))
+    db.write_df(rows(F.col("s_name"), F.lit(True)))
+    db.write_df(rows(F.upper("s_name"), k % 2 == 0))
+    db.write(WriteBatch().put(b"supp_00000001", b"flushed").delete(b"supp_00000002"))
+    db.flush()
+    db.write(WriteBatch().put(b"supp_00000002", b"again").delete(b"supp_00000003").put(b"zupp", b"outside"))
+    return _text(db.range_scan(b"supp_", b"supq"))
+
+
+def wal_replay_orders(spark, sf_dir):
+    """The whole order log through the write path in batches of 500; flushes cut the log, the rest is replayed at the reopening."""
+    db, held = _store(spark, max_memtable_size=1 << 20), WriteBatch()
+    for r in order_log(spark, sf_dir).orderBy("seq").toLocalIterator(prefetchPartitions=True):
+        held = held.put(r["key"], r["value"]) if r["op"] == PUT else held.delete(r["key"])
+        if len(held) == 500:
+            db.write(held, WriteOptions(sync=False))
+            held = WriteBatch()
+    db.write(held)
+    db.stop()
+    return _text(Database(spark, StartMode.OPEN, db.params).scan())
+
+
+def stream_late_changes(spark, sf_dir):
+    """The events as a change stream whose newer half arrives first, ingested micro-batch by micro-batch, then all once more."""
+    e = _read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")
+    op = F.when(F.col("event_type") == "error", DELETE).otherwise(PUT)
+    entries = _entries(e, bigint_key("user_id"), F.col("event_id"), op, F.col("props"))
+    middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    db = _store(spark)
+    src, read = f"{db.params.path}-changes", lambda: spark.readStream.schema(entries.schema).parquet(f"{db.params.path}-changes")
+    for half in (F.col("seq") > middle, F.col("seq") <= middle):
+        entries.filter(half).write.mode("append").parquet(src)
+        ingest(read(), db, f"{db.params.path}-first").awaitTermination()
+    ingest(read(), db, f"{db.params.path}-again").awaitTermination()
+    return db.scan().select(decode_bigint("key").alias("key"), decode_text("value").alias("value"))
+
+
+def stop_and_go(spark, sf_dir):
+    """What each start mode finds of a store of all regions: rows after reopening, after opening or making, after overriding."""
+    db = _store(spark)
+    regions = _read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("ord"), padded_key("region_", "r_regionkey", 4).alias("key"), F.lit(PUT).cast("byte").alias("op"), text_key("r_name").alias("value"))
+    db.write_df(regions)
+    out = []
+    for mode in (StartMode.OPEN, StartMode.CREATE_OR_OPEN, StartMode.CREATE_OR_OVERRIDE):
+        db.stop()
+        db = Database(spark, mode, db.params)
+        out.append((mode.value, db.scan().count()))
+    return spark.createDataFrame(out, "mode string, n long")
+
+
 SEPARATED = """refs AS (SELECT CAST(floor(seq / 1000000000) AS BIGINT) AS batch_id, seq % 1000000000 AS "offset", key, seq, op FROM log),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM refs) WHERE rn = 1 AND op = 1)"""
 PARTS = "SELECT printf('part_%08d', p_partkey) AS key,"
@@ -383,8 +523,26 @@ QUERIES = {
     "value_gc_candidates": value_gc_candidates,
     "value_batch_liveness": value_batch_liveness,
     "level_stats": level_stats,
+    "move_all_tables": move_all_tables,
+    "prune_all_tables": prune_all_tables,
+    "range_scan_gaps": range_scan_gaps,
+    "store_get": store_get,
+    "store_get_separate": store_get_separate,
+    "store_multi_get": store_multi_get,
+    "store_separate_scan": store_separate_scan,
+    "store_garbage": store_garbage,
+    "store_layers": store_layers,
+    "wal_replay_orders": wal_replay_orders,
+    "stream_late_changes": stream_late_changes,
+    "stop_and_go": stop_and_go,
 }
 
+
+def _asked_sql(change: str) -> str:
+    asked = ", ".join(f"('order_{x:08d}')" for x in ASKED)
+    return f"{WITH}, found AS ({change}) SELECT k.key, value, value IS NOT NULL AS found FROM (VALUES {asked}) AS k(key) LEFT JOIN found ON found.key = k.key"
+
+
 ORACLES = {
     "live_scan": f"{WITH} SELECT key, value FROM live",
     "ordered_scan": f"{WITH} SELECT key, value, row_number() OVER (ORDER BY key) AS pos FROM live",
@@ -418,4 +576,16 @@ ORACLES = {
     "value_gc_candidates": f'WITH {LOG}, {SEPARATED} SELECT batch_id, "offset", key FROM refs WHERE op = 1 AND (batch_id, "offset") NOT IN (SELECT (batch_id, "offset") FROM newest)',
     "value_batch_liveness": f'WITH {LOG}, {SEPARATED} SELECT r.batch_id, count(*) AS total, count(n.key) AS live FROM refs AS r LEFT JOIN newest AS n ON n.batch_id = r.batch_id AND n."offset" = r."offset" WHERE r.op = 1 GROUP BY 1',
     "level_stats": "SELECT CAST(level AS INTEGER) AS level, CAST(n AS BIGINT) AS n_tables FROM (VALUES (0, 1), (1, 1), (2, 0), (3, 0), (4, 0)) AS v(level, n)",
+    "move_all_tables": "WITH n AS (SELECT count(DISTINCT floor((o_orderkey - low) * 100 / (high - low + 1))) AS n FROM orders, (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders)) SELECT CAST(step AS INTEGER) AS step, CAST(level AS INTEGER) AS level, CAST(CASE WHEN level = 0 THEN n - step ELSE step END AS BIGINT) AS n_tables FROM n, (SELECT unnest(range(1, 101)) AS step), (VALUES (0), (1)) AS l(level) WHERE step <= n - 4",
+    "prune_all_tables": "WITH b AS (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders) SELECT CAST(floor((o_orderkey - low) * 200 / (high - low + 1)) AS BIGINT) + 1 AS table_id, min(printf('order_%08d', o_orderkey)) AS min_key, max(printf('order_%08d', o_orderkey)) AS max_key, count(*) AS num_entries FROM orders, b GROUP BY 1, low, high HAVING max(o_orderkey) >= low + (high - low) // 4 AND min(o_orderkey) <= low + 3 * (high - low) // 4",
+    "range_scan_gaps": "WITH b AS (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders) SELECT printf('order_%012d', 250 * o_orderkey) AS key, o_orderstatus AS value, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders, b WHERE o_orderkey % 10 <> 0 AND 250 * o_orderkey >= 250 * (low + (high - low) // 4) + 7 AND 250 * o_orderkey < 250 * (low + 3 * (high - low) // 4) + 7",
+    "store_get": _asked_sql("SELECT key, CASE WHEN key = 'order_00000003' THEN 'in the memtable' ELSE value END AS value FROM live WHERE key <> 'order_00001151'"),
+    "store_get_separate": _asked_sql("SELECT * FROM live"),
+    "store_multi_get": f"{WITH} SELECT k.key, value, value IS NOT NULL AS found FROM (SELECT DISTINCT printf('order_%08d', c_custkey) AS key FROM customer) AS k LEFT JOIN live ON live.key = k.key",
+    "store_separate_scan": f"{WITH} SELECT key, value FROM live",
+    "store_garbage": "SELECT CAST(b AS BIGINT) AS batch_id, CASE WHEN live = 0 THEN 'drop' ELSE 'rewrite' END AS action FROM (SELECT 1 AS b, count(*) AS total, 0 AS live FROM part UNION ALL SELECT 2, count(*) FILTER (p_partkey % 10 <> 0), count(*) FILTER (p_partkey % 10 = 1) FROM part) WHERE live < 0.25 * total",
+    "store_layers": "SELECT printf('supp_%08d', s_suppkey) AS key, CASE s_suppkey WHEN 1 THEN 'flushed' WHEN 2 THEN 'again' ELSE CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE s_name END END AS value FROM supplier WHERE s_suppkey <> 3",
+    "wal_replay_orders": f"{WITH} SELECT key, value FROM live",
+    "stream_late_changes": "SELECT user_id AS key, props AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'",
+    "stop_and_go": "SELECT m AS mode, CAST(CASE WHEN m = 'create_or_override' THEN 0 ELSE n END AS BIGINT) AS n FROM (SELECT count(*) AS n FROM region), (VALUES ('open'), ('create_or_open'), ('create_or_override')) AS v(m)",
 }

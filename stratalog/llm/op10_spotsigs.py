@@ -44,8 +44,8 @@ ANCHORS = sorted(
 CHAIN = 2
 #: How far a spot stands for the words around it: REACH times the square of the share of spots among words, FAR at most.
 REACH, FAR = 900, 16
-#: Indexed hashes that two sets must have in common to be compared.
-SHARED = 4
+#: Bits of a hash that make its class, by which rarity is counted.
+CLASSES = 17
 SET = "array<bigint>"
 
 
@@ -94,25 +94,37 @@ def likeness(a: Column, b: Column) -> Column:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, h (hash of the text), n_spots, component_id: documents whose signature sets have a Jaccard coefficient of percent / 100 or more are linked.
 
-    Equal sets are one from the start. As in a prefix join, a set is indexed by its first n - ceil(t n) + SHARED hashes, and
-    by its length partition; sets that reach the threshold have SHARED of these in common (all that it asks for, if that is
-    less). Candidates meet a pivot first and only then sets of other components."""
+    Equal sets are one from the start. As in a prefix join, a set is indexed by its first n - ceil(t n) + l hashes, rare ones
+    first, and by its length partition; sets that reach the threshold have l of these in common, l being 1, 2 or 4 by the
+    length of the shorter one. Rarity is that of a hash's class, of which there are 2^CLASSES at any size of the input: any
+    order is right, and this one keeps hashes that many sets share out of the index. Candidates meet a pivot first and only
+    then sets of other components."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "spotsigs")
     text = F.coalesce("text", F.lit(""))
     rows = documents(docs).select("doc_id", F.xxhash64(text).alias("h"), spots(text).alias("spots"))
     rows = scratch.save(rows.select("doc_id", "h", F.col("spots").cast(SET).alias("spots"), F.size("spots").alias("n"), F.xxhash64("spots").alias("ref")), "rows")
-    sets = scratch.save(rows.filter("n > 0").groupBy("ref").agg(F.first("n").alias("n"), F.first("spots").alias("spots")), "sets")
     members = scratch.save(rows.drop("spots"), "members")
+    sets = rows.filter("n > 0").groupBy("ref").agg(F.first("n").alias("n"), F.first("spots").alias("spots"))
+    kind = lambda x: x.bitwiseAND(F.lit((1 << CLASSES) - 1)).cast("int")
+    every = rows.select(F.explode("spots").alias("x")).select(kind(F.col("x")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    every = every.unionByName(spark.range(1 << CLASSES).select(F.col("id").cast("int").alias("c"), F.lit(0).cast("long").alias("n"))).groupBy("c").agg(F.sum("n").alias("n"))
+    counts = every.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "n"))), lambda x: x["n"]).alias("counts")).withColumn("one", F.lit(1))
+    counts = F.broadcast(scratch.save(counts, "counts"))  # one row of 2^CLASSES numbers
+    ranked = F.sort_array(F.transform("spots", lambda x: F.shiftleft(F.least(F.get("counts", kind(x)), F.lit((1 << 31) - 1)), 32).bitwiseOR(x)))
+    # how common a set's hashes are on average: of a group of near copies, the one most like all has the highest
+    hub = F.aggregate("spots", F.lit(0).cast("long"), lambda acc, x: acc + F.get("counts", kind(x))) / F.col("n")
+    sets = scratch.save(sets.withColumn("one", F.lit(1)).join(counts, "one").select("ref", "n", ranked.alias("spots"), hub.alias("hub")), "sets")
     scratch.drop("rows")
+    often = lambda n: F.when(n < 16, 1).when(n < 32, 2).otherwise(4)  # noqa: E731  l of a set's length
     # Sets of similar length fall into one partition or into neighbours: each is indexed in its own and in the next. A hash
     # goes over the network once; the partitions are made where it arrives.
     part = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    first = F.slice("spots", F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + SHARED))
-    index = sets.select("ref", "n", F.posexplode(first).alias("at", "key")).repartition("key")
-    index = index.select("ref", "n", "at", "key", F.explode(F.array(part(F.col("n")), part(F.col("n")) + 1)).alias("part"))
+    first = F.slice("spots", F.lit(1), F.least(F.col("n"), F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + often(F.col("n"))))
+    index = sets.select("ref", "n", "hub", F.posexplode(first).alias("at", "key")).repartition("key")
+    index = index.select("ref", "n", "hub", "at", "key", F.explode(F.array(part(F.col("n")), part(F.col("n")) + 1)).alias("part"))
     group = Window.partitionBy("key", "part")
-    index = index.withColumn("p", F.min(F.struct("ref", "n", "at")).over(group)).withColumn("sets", F.count("*").over(group))
+    index = index.withColumn("p", F.max(F.struct("hub", "ref", "n", "at")).over(group)).withColumn("sets", F.count("*").over(group))
     index = scratch.save(index.filter("sets > 1").drop("sets"), "index")
     asked = lambda na, nb: F.ceil(percent * (na + nb) / (100 + percent))  # noqa: E731  common hashes that the threshold asks for
     near = lambda na, nb: F.least(na, nb) * 100 >= percent * F.greatest(na, nb)
@@ -121,9 +133,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         """a, b of pairs (a, b, na, nb, pa, pb, part: a meeting in one hash) that meet often enough and not too late, in the partition of the longer one."""
         here = met.filter(near(F.col("na"), F.col("nb")) & (F.greatest(part(F.col("na")), part(F.col("nb"))) == F.col("part")))
         # the positions of the first meeting bound what can follow it
-        often = here.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+        pairs = here.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
         least = asked(F.col("na"), F.col("nb"))
-        return often.filter((F.col("k") >= F.least(F.lit(SHARED), least)) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)).select("a", "b")
+        return pairs.filter((F.col("k") >= F.least(often(F.least("na", "nb")), least)) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)).select("a", "b")
 
 
     def links(pairs: DataFrame) -> DataFrame:

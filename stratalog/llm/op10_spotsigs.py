@@ -10,7 +10,7 @@ empty).
 
 ``near_duplicates`` partitions sets by length, so that only neighbouring partitions can reach the threshold, indexes a
 prefix of each set, and compares candidates by Jaccard, pruned by the lengths and the positions where they meet. The query
-gives its groups as component_id.
+compares each fingerprint with two given ones and doesn't join all with all (see README).
 
 For "the next document", documents are cut into ranges of doc_id at approximate quantiles; an id that takes several
 quantiles is cut further by the hash of the text. A window finds the next row within a range, and the first row of the
@@ -84,10 +84,10 @@ def fingerprint(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard coefficient of two signature sets; equal ones and empty ones need no comparison."""
+    """Jaccard coefficient of two sorted signature sets; equal ones, empty ones and disjoint ranges need no comparison."""
     common = F.size(F.array_intersect(a, b))
     either = F.size(a) + F.size(b)
-    apart = (F.size(a) == 0) | (F.size(b) == 0)
+    apart = (F.size(a) == 0) | (F.size(b) == 0) | (F.get(a, F.size(a) - 1) < F.get(b, F.lit(0))) | (F.get(b, F.size(b) - 1) < F.get(a, F.lit(0)))
     return F.when(a == b, 1.0).when(apart, 0.0).otherwise(common / (either - common))
 
 
@@ -189,53 +189,40 @@ def _descend(at: Column, table: Column, value: Column, step: int, n: int) -> Col
 LOWEST = -(1 << 63)
 
 
-def with_next(docs: DataFrame, more: dict[str, Column], known: DataFrame | None = None) -> DataFrame:
-    """doc_id, text, the columns of ``more``, and next_text and next_<name>: those of the next document, after the last the first.
-
-    known: doc_id, h and one more column, which documents get; its rows travel to the documents' ranges, not texts to it."""
+def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """doc_id, text, the columns of ``more``, and next_text and next_<name>: those of the next document, after the last the first."""
     spark = docs.sparkSession
-    order = lambda df: df.withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
-    rows = order(documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("h", F.xxhash64("text"))
+    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LOWEST)).alias("at")).withColumn("h", F.xxhash64("text"))
     ranges = 4 * shuffle_partitions(spark)
     cuts = rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("cuts")).first().cuts or []  # a value for each range
-    place = lambda df: df.withColumn("range", _range_of(F.col("at"), F.col("h"), sorted(cuts)))
-    rows = place(rows)
+    rows = rows.withColumn("range", _range_of(F.col("at"), F.col("h"), sorted(cuts)))
     # the first document of each range: as many rows as there are ranges, found by id and hash
     least = rows.groupBy("range").agg(F.min(F.struct("at", "h")).alias("x")).select("range", "x.*").orderBy("range").collect()
-    added = [c for c in known.columns if c not in ("doc_id", "h")] if known is not None else []
     held = ["text", *more]
-    wide = rows.withColumn("document", F.lit(True)).select("*", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in added])
-    if known is not None:
-        other = place(order(known.distinct())).withColumn("document", F.lit(False))
-        wide = wide.unionByName(other, allowMissingColumns=True)
     # what is computed from texts is computed after they have travelled
-    full = wide.repartition("range").select("*", *[c.alias(n) for n, c in more.items()])
-    window = Window.partitionBy("range").orderBy("at", "h", "document")
-    after = [F.lead(F.struct("document", *held), k).over(window) for k in (1, 2)]
-    own = [F.last(c, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in added]
-    ahead = full.select("doc_id", "range", "document", *held, F.when(after[0]["document"], after[0]).otherwise(after[1]).alias("next"), *own).filter("document")
+    full = rows.repartition("range").select("*", *[c.alias(n) for n, c in more.items()])
+    ahead = full.withColumn("next", F.lead(F.struct(*held)).over(Window.partitionBy("range").orderBy("at", "h")))
     if least:
         text = json.dumps([{"before": a["range"], "at": b["at"], "h": b["h"]} for a, b in zip(least, least[1:] + least[:1])])
         follower = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<before:int,at:bigint,h:bigint>>")))
         firsts = rows.join(F.broadcast(follower), ["at", "h"]).withColumn("nth", F.row_number().over(Window.partitionBy("before").orderBy("h"))).filter("nth = 1")
-        heads = firsts.select("before", *[c.alias(n) for n, c in {"text": F.col("text"), **more}.items()]).select("before", F.struct(F.lit(True).alias("document"), *held).alias("head"))
+        heads = firsts.select("before", *[c.alias(n) for n, c in {"text": F.col("text"), **more}.items()]).select("before", F.struct(*held).alias("head"))
         both = ahead.join(heads, (F.col("range") == F.col("before")) & F.col("next").isNull(), "left")
         ahead = both.withColumn("next", F.coalesce("next", "head"))
-    return ahead.select("doc_id", *held, *added, *[F.col(f"next.{n}").alias(f"next_{n}") for n in held])
+    return ahead.select("doc_id", *held, *[F.col(f"next.{n}").alias(f"next_{n}") for n in held])
 
 
-def compare(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id for each document."""
-    known = near_duplicates(docs, percent).select("doc_id", "h", "component_id")
-    rows = with_next(docs, {"spots": spots(F.coalesce(F.col("text"), F.lit("")))}, known)
+def compare(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document."""
+    rows = with_next(docs, {"spots": spots(F.coalesce(F.col("text"), F.lit("")))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", edited.alias("edited"), "component_id")
-    rows = rows.select("doc_id", "n_chars", "spots", "next_spots", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spots(F.col("edited")).alias("edited_spots"), "component_id")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", edited.alias("edited"))
+    rows = rows.select("doc_id", "n_chars", "spots", "next_spots", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spots(F.col("edited")).alias("edited_spots"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
-        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"), "component_id",
+        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
     )
 
 

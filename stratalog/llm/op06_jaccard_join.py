@@ -25,12 +25,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, documents, ending, fresh, give_back, text_bytes
+from .common import Scratch, arrow_batches, documents, ending, fresh, give_back, shuffle_partitions, text_bytes
 from .components import components
 
 POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
 SETS = "ref long, n long, unshared long, hub long, keys binary"
-#: Bytes of text for each bucket: postings take about as many, so a bucket's size does not grow with the input.
+#: Bytes of text for each bucket: postings take about as many, so a bucket's size does not grow with the input. A small input has a bucket for each partition.
 BUCKET = 16 << 20
 
 
@@ -230,7 +230,7 @@ def classify(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
     Two documents link when 100 * intersection >= percent * union of their n-gram sets."""
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark, "jaccard"), max(1, -(-text_bytes(docs) // BUCKET))
+    scratch, buckets = Scratch(spark, "jaccard"), max(shuffle_partitions(spark), -(-text_bytes(docs) // BUCKET))
     with arrow_batches(spark):
         posted = documents(docs, F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(_post(size, buckets), POSTED)
         counted = scratch.save(posted.groupBy("bucket").applyInArrow(_shared(buckets), POSTED), "counted")

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, ending, give_back, partitions_for
+from .common import Scratch, arrow_batches, ending, give_back, partitions_for, shuffle_partitions
 
 SEED, LONGEST = 16, 30_000
 #: Bytes of text hashed at once, and of contexts in one transform (a key's contexts stay together).
@@ -501,7 +501,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int | None = None) -
         packed.options(path=scratch.path("blocks"), **checks).saveAsTable(name)
     try:
         blocks = spark.table(name)
-        buckets = max(1, -(-(blocks.agg(F.sum("raw")).first()[0] or 0) // BUCKET))
+        buckets = max(shuffle_partitions(spark), -(-(blocks.agg(F.sum("raw")).first()[0] or 0) // BUCKET))
         met = lambda rows, *what: blocks.join(rows.repartition(n, "slot").groupBy("slot").agg(*what).hint("shuffle_hash"), "slot", "left")
         with arrow_batches(spark, rows=1):
             keys = blocks.select("slot", "blob").mapInArrow(_keys(length, buckets), KEYS)

@@ -59,7 +59,12 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes the documents under path/shard=<bits>; each shard's rows are gathered by the shuffle on its name."""
+    """Writes the documents, all columns, under path/shard=p<bits>; each shard's rows are gathered by the shuffle on its name.
+
+    Null texts and null ids are rows like others; rows with equal doc_id share a shard; an empty table writes no shard. A
+    column of the input that is called shard, in any case of letters, is refused."""
+    if "shard" in {c.lower() for c in docs.columns}:
+        raise ValueError("the documents have a column called shard")
     parts = assign(docs, limit).select("doc_id", F.concat(F.lit("p"), "shard").alias("shard")).dropDuplicates(["doc_id"])
     joined = docs.join(parts, docs["doc_id"].eqNullSafe(parts["doc_id"])).drop(parts["doc_id"])
     joined.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
@@ -69,7 +74,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE = f"""
+#: A limit at which also small tables are split.
+SMALL = 64 << 10
+
+
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole documents with shards of 64 KiB."""
+    return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), SMALL)
+
+
+def sql(limit: int = LIMIT) -> str:
+    return f"""
 WITH k AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS key
@@ -78,8 +93,8 @@ l AS (SELECT *, unnest(range(0, {BITS + 1})) AS depth FROM k),
 b AS (SELECT depth, key >> ({BITS} - depth) AS pfx, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs, min(key) = max(key) AS one FROM l GROUP BY 1, 2),
 f AS (
   SELECT doc_id, n_bytes, b.depth, b.pfx, shard_bytes, shard_docs, row_number() OVER (PARTITION BY doc_id ORDER BY b.depth) AS nth
-  FROM l JOIN b ON b.depth = l.depth AND b.pfx = (l.key >> ({BITS} - l.depth)) WHERE shard_bytes <= {LIMIT} OR one)
+  FROM l JOIN b ON b.depth = l.depth AND b.pfx = (l.key >> ({BITS} - l.depth)) WHERE shard_bytes <= {limit} OR one)
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(pfx), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS INTEGER) AS depth,
-  shard_bytes, shard_docs, shard_bytes > {LIMIT} AS oversized
+  shard_bytes, shard_docs, shard_bytes > {limit} AS oversized
 FROM f WHERE nth = 1
 """

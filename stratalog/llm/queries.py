@@ -10,8 +10,7 @@ from .op04_pii import op4_pii
 from .op05_license_scan import op5_license_scan
 from .op06_jaccard_join import ORACLE as JACCARD_SQL
 from .op06_jaccard_join import op6_jaccard_join
-from .op07_sharding import ORACLE as SHARDING_SQL
-from .op07_sharding import op7_sharding
+from .op07_sharding import SMALL, op7_sharding, sharding_small, sql
 from .op08_token_store import op8_token_store
 from .op09_suffix_dedup import op9_suffix_dedup
 from .op10_spotsigs import op10_spotsigs
@@ -27,9 +26,11 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_spotsigs": op10_spotsigs,
+    "sharding_small": sharding_small,
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION_SQL,
     "op6_jaccard_join": JACCARD_SQL,
-    "op7_sharding": SHARDING_SQL,
+    "op7_sharding": sql(),
+    "sharding_small": sql(SMALL),
 }

@@ -152,3 +152,19 @@ def test_foreign_texts_go_and_clean_ones_stay(spark, sf_dir):
     kept = {r.doc_id for r in lid.keep_identified(more).select("doc_id").collect()}
     want = {r.doc_id for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
     assert kept == want | {-4}
+
+
+def test_written_shards(spark, docs, rows, empty, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    shard.write_shards(docs, path, 5000)
+    back = spark.read.parquet(path)
+    assert sorted((str(r.doc_id), str(r.text)) for r in back.collect()) == sorted((str(d), str(t)) for d, t in rows)
+    assert set(back.columns) == {*docs.columns, "shard"}
+    of = {(r.doc_id, r.n_bytes): f"p{r.shard}" for r in shard.assign(docs, 5000).collect()}
+    assert {of[(r.doc_id, len((r.text or "").encode()))] == r.shard for r in back.collect()} == {True} and len(set(of.values())) > 3
+    for folder in (tmp_path / "shards").glob("shard=*"):
+        assert len(list(folder.glob("*.parquet"))) == 1
+    shard.write_shards(empty, f"file://{tmp_path}/none")
+    assert not list((tmp_path / "none").glob("shard=*"))
+    with pytest.raises(ValueError):
+        shard.write_shards(docs.withColumn("Shard", F.lit(1)), path)

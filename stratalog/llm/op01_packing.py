@@ -145,16 +145,16 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     with arrow_batches(spark):
-        cut = scratch.save(token_pieces(docs, capacity, tokenizer), "pieces")
+        cut = scratch.save(token_pieces(docs, capacity, tokenizer).withColumn("salt", F.monotonically_increasing_id()), "pieces")
     blocks = 4 * shuffle_partitions(spark)
-    # A length that many pieces share is ranked block by block.
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    # A length that many pieces share is ranked block by block; the stored salt parts pieces that are equal in all else.
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("salt"), F.lit(blocks)))
     counts = scratch.save(cut.groupBy("length", "block").agg(F.count("*").alias("n")), "counts")
     base = counts.select("length", "block", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     placed = placements(counts.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), capacity, scratch).withColumnsRenamed({"lo": "run_lo", "n": "run_n", "offset": "run_offset"})
     if placed.count() <= MOST_BROADCAST:
         placed = F.broadcast(placed)
-    own = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "block").orderBy("salt")) - 1
     ranked = cut.withColumn("own", own).join(base, ["length", "block"]).withColumn("rank", F.col("own") + F.col("base"))
     at = F.col("rank") - F.col("run_lo")
     found = ranked.join(placed, (F.col("length") == F.col("size")) & (at >= 0) & (at < F.col("run_n")))

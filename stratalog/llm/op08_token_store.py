@@ -58,7 +58,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str | None = None,
     document's place in the whole store is its part's offset (see ``part_offsets``) plus ``part_start``.
     """
     spark = docs.sparkSession
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # an id that very many rows share is parted by how their texts begin, in the order in which they are sorted
+    ordered = documents(docs).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     with arrow_batches(spark):
         (
             ordered.mapInArrow(_tokenise(tokenizer or default_path()), STORED)

@@ -4,10 +4,13 @@ The tokenizer drops white space and never merges across it, so a text's ids are
 order. Words repeat; each task keeps the ids of the words it has met (a bounded cache). A new word
 of plain letters, digits and punctuation is split by the tokenizer's own rule and its pieces go to the library's BPE
 model directly; any other word goes through the library's whole ``encode``.
+
+All of this holds for tokenizer files with the rules RULES. With any other file, whole texts go through the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,6 +27,17 @@ LONGEST_KEPT, SHORT, MOST_WORDS = 48, 8, 800_000
 _LATIN = "a-zß-öø-ÿ"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 _LETTERS = re.compile(rf"[{_LATIN}]+")
+#: The rules of a tokenizer file for which words can be encoded one by one.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _MARKS = frozenset(b".,;:!?")
 _PLAIN = re.compile(r"[\x21-\x7eA-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -53,6 +67,11 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        model = rules["model"]
+        plain = all(x["content"].startswith("<|") and not (x["single_word"] or x["lstrip"] or x["rstrip"]) for x in rules["added_tokens"])
+        #: whether the file's rules are those that words and pieces are made by
+        self.by_words = plain and model["type"] == "BPE" and not model.get("dropout") and all(rules.get(k) == v for k, v in RULES.items())
         self.model, self.table, self.old = self.tokenizer.model.tokenize, _byte_chars(), {}
 
     def keep(self, word: bytes, ids: bytes) -> bytes:
@@ -94,12 +113,16 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     """Gives the ids of a text (null: empty) with the end id, as little-endian unsigned 32-bit integers."""
     if path not in _kept:
         _kept[path] = _Words(path)
-    look = _kept[path].__getitem__
+    words = _kept[path]
+    look, whole = words.__getitem__, words.tokenizer.encode
 
     def encode(text: str | None) -> bytes:
         return b"".join(map(look, text.encode().split())) + _END if text else _END
 
-    return encode
+    def encode_whole(text: str | None) -> bytes:
+        return array("I", whole(text, add_special_tokens=False).ids).tobytes() + _END if text else _END
+
+    return encode if words.by_words else encode_whole
 
 
 def forget() -> None:

@@ -103,3 +103,27 @@ def test_sweep_is_best_fit():
             assert ends[b] == at
             ends[b] += s
         assert max(ends.values(), default=0) <= capacity
+
+
+def test_other_tokenizers_go_through_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, texts = Tokenizer.from_file(path), ["Hello,  World! it's 1234", " é😀 <|endoftext|> b", "", None]
+    for t in texts:
+        assert encoder(path)(t) == ids(other, t).tobytes()
+    got = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 64, path).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(ids(other, t)), zlib.crc32(ids(other, t).tobytes())) for i, t in enumerate(texts)}
+
+
+def test_equal_rows_are_packed_each(spark):
+    """A third of all rows are one row, many times."""
+    df = spark.createDataFrame([(7, "the very same text")] * 300 + [(i, "other words " * (i % 9)) for i in range(600)], "doc_id long, text string").repartition(4)
+    got = pack(df, 64).collect()
+    assert len(got) == 900 and len({(r.sequence_id, r.offset) for r in got}) == 900
+    check_packing(got, 64)
+    scratch = Scratch(spark, "test-equal")
+    write_token_store(df, scratch.path("orc"))
+    places = sorted((r.start, r.n_tokens, r.doc_id) for r in summarise(read_token_store(spark, scratch.path("orc"))).collect())
+    assert len(places) == 900 and all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(places, places[1:]))

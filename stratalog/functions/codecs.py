@@ -23,7 +23,7 @@ def decode_text(key: Column | str) -> Column:
 
 def padded_key(prefix: str, number: Column | str, width: int) -> Column:
     """prefix and a zero-padded decimal, for numbers from 0 to 10^width - 1."""
-    return text_key(F.format_string(f"{prefix}%0{width}d", _column(number)))
+    return text_key(F.concat(F.lit(prefix), F.lpad(_column(number).cast("long").cast("string"), width, "0")))
 
 
 def bigint_key(number: Column | str) -> Column:

@@ -1,7 +1,12 @@
 """A corpus pipeline: documents in, packed training sequences out.
 
-Each stage is written as Parquet and read again as the next one's documents. Stages keep the columns of ``documents``; the
-last gives the pieces and their places in sequences.
+Each stage is written as Parquet and read again as the next one's documents; the one before is deleted then. Stages keep the
+columns of ``documents``, of whatever name; the last gives the pieces and their places in sequences.
+
+Edge cases: null texts, and texts without a letter, go in the first stage; null ids, rows that share ids and very long texts are
+documents like others, each judged by its own text; of rows with equal id and equal text one stays (the first in the order
+of their other columns), and of a group of near duplicates that of the smallest id, then text hash; an empty table gives an
+empty table in every stage.
 """
 
 from __future__ import annotations
@@ -57,7 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs

@@ -262,11 +262,14 @@ class Database:
             probed = prune(self.manifest.tables, key, key)
         if not probed:
             return None
-        found = ops.get(read_tables(self.spark, probed), key).first()
-        if found is not None and found["batch_id"] is not None:
+        rows = read_tables(self.spark, probed).filter(F.col("key") == F.lit(key))
+        found = latest(rows.withColumn("_file", F.input_file_name())).first()
+        self._sought([t for t in probed if found is None or f"/tables/{t.path.rpartition('/')[2]}/" not in found["_file"]])
+        if found is None or found["op"] != PUT:
+            return None
+        if found["batch_id"] is not None:
             found = sep.value_at(read_values(self.spark, self._folder("values"), (found["batch_id"],)), found["offset"]).first()
-        self._sought(probed)
-        return bytes(found["value"]) if found else None
+        return bytes(found["value"])
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """key, value, found for each distinct key asked for; tables outside the keys' range are left out."""
@@ -440,14 +443,16 @@ class Database:
                 self._commit(lambda now: replace(now, batches=left))
             return actions
 
-    def _sought(self, probed) -> None:
+    def _sought(self, in_vain) -> None:
         """Tables that lookups read in vain too often are compacted: each has a budget by its size."""
-        if self.params.seek_based_compaction is None or len(probed) < 2:
+        if self.params.seek_based_compaction is None:
             return
-        for t in probed[:-1]:
-            left = self._budget.get(t.table_id, max(t.size_bytes // 1024, 1) * self.params.seek_based_compaction)
-            self._budget[t.table_id] = left - 1
-        if any(self._budget.get(t.table_id, 1) <= 0 for t in probed):
+        with self._lock:
+            for t in in_vain:
+                left = self._budget.get(t.table_id, max(t.size_bytes // 1024, 1) * self.params.seek_based_compaction)
+                self._budget[t.table_id] = left - 1
+            spent = any(self._budget[t.table_id] <= 0 for t in in_vain)
+        if spent:
             self.compact_once()
 
     def _log_levels(self) -> None:

@@ -313,3 +313,16 @@ def test_values_are_looked_up_by_place(spark, tmp_path, monkeypatch):
     assert db.get(b"key_01234") == b"some value 1234" and db.get(b"nothing") is None
     plan = values.value_at(tables.read_values(spark, db._folder("values"), db.manifest.batches), 7)._jdf.queryExecution().toString()
     assert "EqualTo(offset,7)" in plan and "Join" not in plan
+
+
+def test_tables_sought_in_vain_are_compacted(spark, tmp_path):
+    db = Database(spark, NEW, params(tmp_path, seek_based_compaction=2))
+    for value, keys in (("one", range(0, 10)), ("two", range(0, 10, 2))):
+        db.write_df(batch(spark, 10, value).filter(F.col("ord").isin(*keys)))
+    assert db.manifest.level_counts()[:2] == [2, 0]
+    for _ in range(3):
+        assert db.get(b"key_00004") == b"two4"  # the older table is read in vain: the newer one has the newest version
+    assert db.manifest.level_counts()[:2] == [0, 1] and db.get(b"key_00005") == b"one5" and db.get(b"key_00004") == b"two4"
+    never = Database(spark, NEW, params(tmp_path, seek_based_compaction=None))
+    never.write_df(batch(spark, 10, "v"))
+    assert [never.get(b"key_00001x") for _ in range(5)] == [None] * 5 and never.manifest.level_counts()[0] == 1

@@ -93,6 +93,49 @@ def ending(run):
     return whole
 
 
+_U32 = (1 << 32) - 1
+
+
+def _turn(x, bits: int):
+    import numpy as np
+
+    return (x << np.uint64(bits) | x >> np.uint64(32 - bits)) & np.uint64(_U32)
+
+
+def _times(x, factor: int):
+    import numpy as np
+
+    return x * np.uint64(factor) & np.uint64(_U32)
+
+
+def number_of(label):
+    """The hash by which Spark deals out integers (32-bit Murmur3 with seed 42), as unsigned numbers."""
+    import numpy as np
+
+    x = np.asarray(label, np.int64).astype(np.uint64) & np.uint64(_U32)
+    x = _times(_turn(_times(x, 0xCC9E2D51), 15), 0x1B873593) ^ np.uint64(42)
+    x = (_times(_turn(x, 13), 5) + np.uint64(0xE6546B64) & np.uint64(_U32)) ^ np.uint64(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = _times(x ^ x >> np.uint64(shift), factor)
+    return x ^ x >> np.uint64(16)
+
+
+def label_of(number):
+    """The integer whose hash is the number (below 2^31): buckets named so are dealt out evenly, n over n partitions one to each."""
+    import numpy as np
+
+    undo = lambda factor: pow(factor, -1, 1 << 32)
+    x = np.asarray(number, np.int64).astype(np.uint64)
+    x = x ^ x >> np.uint64(16)
+    x = _times(x, undo(0xC2B2AE35))
+    x = x ^ x >> np.uint64(13) ^ x >> np.uint64(26)
+    x = _times(x, undo(0x85EBCA6B))
+    x = (x ^ x >> np.uint64(16)) ^ np.uint64(4)
+    x = _turn(_times(x + np.uint64((1 << 32) - 0xE6546B64) & np.uint64(_U32), undo(5)), 19) ^ np.uint64(42)
+    x = _times(_turn(_times(x, undo(0x1B873593)), 17), undo(0xCC9E2D51))
+    return x.astype(np.uint32).view(np.int32)
+
+
 def partitions_for(df: DataFrame) -> int:
     """How many partitions a scan of as many bytes would have, by the plan's statistics; the shuffle's number where these say nothing."""
     spark = df.sparkSession

@@ -1,7 +1,7 @@
 """Operator 6: exact Jaccard join of documents on word n-grams by rare-first prefix filtering.
 
 1. Every text becomes its set of hashed n-grams. Texts with one set share a 64-bit reference, so copies are one from here
-   on. Postings (n-gram, reference) go, packed, to buckets of the n-gram's hash.
+   on. Postings (n-gram, reference) go, packed, to buckets of the n-gram's hash, which are dealt evenly to partitions.
 2. Each bucket counts in how many sets an n-gram stands. An n-gram of one set alone can't be shared; of the others, each
    set gets its n-grams with these counts back.
 3. In the order (count, hash), a set's unshared n-grams come first and take up its prefix; what is left of the prefix is
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, documents, ending, fresh, give_back, shuffle_partitions, text_bytes
+from .common import Scratch, arrow_batches, documents, ending, fresh, give_back, label_of, shuffle_partitions, text_bytes
 from .components import components
 
 POSTED = "bucket int, doc_id long, h long, n long, ref long, blob binary"
@@ -71,7 +71,7 @@ def _post(size: int, buckets: int):
             n = np.array([len(s) for s in sets], np.int64)
             _, once = np.unique(refs, return_index=True)  # copies within the batch are posted once
             once = once[n[once] > 0]
-            out = [(np.arange(len(sets)) % buckets).tolist(),  # rows of documents go round, so that copies don't meet
+            out = [label_of(np.arange(len(sets)) % buckets).tolist(),  # rows of documents go round, so that copies don't meet
                    batch.column(0).to_pylist(), batch.column(2).to_pylist(), n.tolist(), refs.view(np.int64).tolist(), [None] * len(sets)]
             if len(once):
                 keys, owner = np.concatenate([sets[i] for i in once]), np.repeat(np.arange(len(once)), n[once])
@@ -79,9 +79,9 @@ def _post(size: int, buckets: int):
                 order = np.argsort(to, kind="stable")
                 keys, owner, to = keys[order], owner[order], to[order]
                 edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                for a, b, name in zip(edge[:-1].tolist(), edge[1:].tolist(), label_of(to[edge[:-1]]).tolist()):
                     who, count = np.unique(owner[a:b], return_counts=True)
-                    for col, x in zip(out, (int(to[a]), None, None, None, None, _pack(refs[once[who]], n[once[who]], count, keys[a:b]))):
+                    for col, x in zip(out, (name, None, None, None, None, _pack(refs[once[who]], n[once[who]], count, keys[a:b]))):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["bucket", "doc_id", "h", "n", "ref", "blob"])
 
@@ -127,9 +127,9 @@ def _shared(buckets: int):
             order = np.lexsort((owner, to))
             keys, owner, sets, to = keys[order], owner[order], sets[order], to[order]
             edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, np.int64)
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            for a, b, name in zip(edge[:-1].tolist(), edge[1:].tolist(), label_of(to[edge[:-1]].astype(np.int64)).tolist()):
                 who, k = np.unique(owner[a:b], return_counts=True)
-                out[0].append(int(to[a]))
+                out[0].append(name)
                 out[1].append(_pack(names[who], sizes[who], k, keys[a:b]) + sets[a:b].astype("<u4").tobytes())
         k = len(out[0])
         give_back()

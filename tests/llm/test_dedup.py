@@ -170,3 +170,16 @@ def test_lengths_that_are_refused(spark, empty, length):
 def test_suffix_dedup_of_odd_rows(docs, rows):
     got = remove_repeats(docs).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+
+
+@pytest.mark.parametrize("n", [1, 7, 211])
+def test_labels_are_dealt_out_evenly(spark, n):
+    from pyspark.sql import functions as F
+
+    from stratalog.llm.common import label_of, number_of
+
+    numbers = np.array([*range(1000), 2**31 - 1, 123456789])
+    labels = label_of(numbers)
+    assert (number_of(labels) == numbers).all() and len(set(labels.tolist())) == len(numbers)
+    df = spark.createDataFrame([(int(j), int(x)) for j, x in zip(numbers, labels)], "j long, label int")
+    assert df.filter(F.pmod(F.hash("label"), F.lit(n)) != F.col("j") % n).count() == 0

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, ending, give_back, partitions_for, shuffle_partitions
+from .common import Scratch, arrow_batches, ending, give_back, label_of, number_of, partitions_for, shuffle_partitions
 
 SEED, LONGEST = 16, 30_000
 #: Bytes of text hashed at once, and of contexts in one transform (a key's contexts stay together).
@@ -134,7 +134,7 @@ def _rank(doc, h):
     return rank, doc[firsts], h[firsts]
 
 
-def _blocks(slots: list[int]):
+def _blocks(slots: int):
     """Documents (doc_id, h, text) as one row for each block. Blocks go round the slots, so that these are of one size."""
 
     def run(batches: Iterator) -> Iterator:
@@ -150,7 +150,7 @@ def _blocks(slots: list[int]):
             doc, h, texts = zip(*held)
             head = [np.array([len(held)], "<u8"), np.array(doc, "<i8"), np.array(h, "<i8"), np.array([len(t) for t in texts], "<u8")]
             blob = pack.compress(b"".join([x.tobytes() for x in head] + list(texts)))
-            cells = ((slots[(part + k) % len(slots)], pa.int32()), (part << 32 | k, pa.int64()), (size, pa.int64()), (blob, pa.binary()))
+            cells = ((int(label_of((part + k) % slots)), pa.int32()), (part << 32 | k, pa.int64()), (size, pa.int64()), (blob, pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=["slot", "block", "raw", "blob"])
 
         for batch in batches:
@@ -188,14 +188,15 @@ def _only(doc, h):
 
 
 def _sections(keys, buckets: int):
-    """(bucket, positions) of the keys that go to each bucket, positions ascending."""
+    """(bucket's label, positions) of the keys that go to each bucket, positions ascending."""
     import numpy as np
 
     to = (keys % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     edge = np.flatnonzero(np.concatenate([[True], to[by[1:]] != to[by[:-1]], [True]])) if len(to) else np.zeros(1, np.int64)
-    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        yield int(to[by[x]]), by[x:y]
+    names = label_of(to[by[edge[:-1]]] if len(to) else to).tolist()
+    for x, y, name in zip(edge[:-1].tolist(), edge[1:].tolist(), names):
+        yield name, by[x:y]
 
 
 def _keys(length: int, buckets: int):
@@ -234,7 +235,7 @@ def _repeated(hot: int):
         import numpy as np
         import pyarrow as pa
 
-        bucket, slots, blobs = table.column("bucket")[0].as_py(), table.column("slot").to_numpy(), table.column("blob").to_pylist()
+        bucket, slots, blobs = int(number_of(table.column("bucket")[0].as_py())), table.column("slot").to_numpy(), table.column("blob").to_pylist()
         del table
         n = np.array([int(np.frombuffer(x, "<u8", 1)[0]) for x in blobs], np.int64)
         key = np.concatenate([np.frombuffer(x, "<u4", k, 8) for x, k in zip(blobs, n.tolist())])
@@ -316,7 +317,7 @@ def _send(length: int, buckets: int):
                 row = only.astype(np.int64)
                 if len(gone):
                     k, a, b = _merged(which[gone], start[gone], start[gone] + size[gone])
-                    for col, v in zip(out, (block % buckets, slot, block, None, _spelled(row[k], a, b))):
+                    for col, v in zip(out, (int(label_of(block % buckets)), slot, block, None, _spelled(row[k], a, b))):
                         col.append(v)
                 for to, x in _sections(key[kept], buckets):
                     own = kept[x]
@@ -474,16 +475,6 @@ def _keep(batches: Iterator) -> Iterator:
 NO_ID = -(1 << 63)
 
 
-def _slots(spark: SparkSession, n: int) -> list[int]:
-    """Of each of n hash buckets the least number that falls into it: a row for each bucket of the blocks' table."""
-    tried, found = 16 * n, {}
-    while len(found) < n:
-        numbers = spark.range(tried).select(F.col("id").cast("int").alias("v"))
-        found = {r[0]: r[1] for r in numbers.groupBy(F.pmod(F.hash("v"), F.lit(n))).agg(F.min("v")).collect()}
-        tried *= 2
-    return [found[i] for i in range(n)]
-
-
 def remove_repeats(docs: DataFrame, length: int = 100, hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document. hot: different contexts of a key beyond which it is split into windows."""
     if not SEED <= length <= LONGEST:
@@ -495,7 +486,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int | None = None) -
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     n, name = partitions_for(docs), f"stratalog_{uuid.uuid4().hex[:16]}"
     with arrow_batches(spark):
-        packed = rows.mapInArrow(_blocks(_slots(spark, n)), PACKED).write.format("parquet").bucketBy(n, "slot")
+        packed = rows.mapInArrow(_blocks(n), PACKED).write.format("parquet").bucketBy(n, "slot")
         # few large cells: Parquet must look at sizes after every row
         checks = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.block.size": 32 << 20, "compression": "uncompressed"}
         packed.options(path=scratch.path("blocks"), **checks).saveAsTable(name)

@@ -110,10 +110,10 @@ class Database:
             try:
                 self._await_flush()
             finally:
-                self.log.roll()
                 self._closed = True
                 if self._thread is not None:
                     self._thread.shutdown()
+                self.log.roll()
 
     close = stop
 

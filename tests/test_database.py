@@ -326,3 +326,25 @@ def test_tables_sought_in_vain_are_compacted(spark, tmp_path):
     never = Database(spark, NEW, params(tmp_path, seek_based_compaction=None))
     never.write_df(batch(spark, 10, "v"))
     assert [never.get(b"key_00001x") for _ in range(5)] == [None] * 5 and never.manifest.level_counts()[0] == 1
+
+
+def test_a_failed_write_is_nobody_s_success(spark, tmp_path):
+    """If writing a group fails, every writer of it hears of it, and the store takes no more until it is opened again."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = Database(spark, NEW, params(tmp_path))
+    db.put(b"a", b"1")
+    flush = db.log._flush
+
+    def broken(sync):
+        time.sleep(0.02)
+        raise OSError("no space left")
+
+    db.log._flush = broken
+    with ThreadPoolExecutor(8) as pool:
+        ended = [f.exception() for f in [pool.submit(db.put, b"k%d" % i, b"v") for i in range(30)]]
+    assert all(isinstance(e, (OSError, StorageError)) for e in ended)
+    db.log._flush = flush
+    with pytest.raises(StorageError):
+        db.put(b"b", b"2")
+    assert db.get(b"k1") is None and list(Database(spark, StartMode.OPEN, db.params).iter()) == [(b"a", b"1")]

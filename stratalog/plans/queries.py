@@ -57,11 +57,14 @@ def _text(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def _pos(rows: DataFrame, reverse: bool = False, width: int = 10) -> DataFrame:
-    """Adds pos, the place in key order from 1. Rows rank within their key's first ``width`` bytes (here ten thousand keys at most), and the prefixes before add their sizes; only the sizes meet in one task."""
+    """Adds pos, the place in key order from 1. Rows rank within their key's first ``width`` bytes (here ten thousand keys at most), prefixes add up the sizes of those before them within a prefix three bytes shorter, and these within the whole; only the sizes of the shortest prefixes (ten million keys each) meet in one task."""
     order = (lambda c: F.col(c).desc()) if reverse else F.col
     split = rows.withColumn("_prefix", F.substring("key", 1, width))
-    sizes = split.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    before = sizes.select("_prefix", F.coalesce(F.sum("_n").over(Window.orderBy(order("_prefix")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sizes = split.groupBy("_prefix").agg(F.count("*").alias("_n")).withColumn("_group", F.substring("_prefix", 1, width - 3))
+    groups = sizes.groupBy("_group").agg(F.sum("_n").alias("_m"))
+    ahead = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("_group", ahead("_m", Window.orderBy(order("_group"))).alias("_far"))
+    before = sizes.select("_group", "_prefix", ahead("_n", Window.partitionBy("_group").orderBy(order("_prefix"))).alias("_near")).join(groups, "_group").select("_prefix", (F.col("_near") + F.col("_far")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_prefix").orderBy(order("key")))
     return split.withColumn("_own", within).join(before, "_prefix").withColumn("pos", (F.col("_own") + F.col("_before")).cast("long")).drop("_prefix", "_own", "_before")
 

@@ -30,7 +30,10 @@ from .operators.resolve import latest, live
 from .sources import log as wal
 from .sources.files import Files
 from .sources.manifest import Manifest, commit, load
-from .sources.tables import read_tables, read_values, write_table, write_values
+from .sources.tables import parts_of, read_tables, read_values, write_table, write_values
+
+#: Batches of a wide segment that stay in log and memtable at most.
+MOST_KEPT = 1000
 
 
 class Memtable:
@@ -82,14 +85,24 @@ class Database:
         else:
             if found.num_levels != self.params.num_levels or found.separate_values != self.params.separate_values:
                 raise InvalidParams("the store was made with other levels or another value layout")
-            self.manifest, self.next_seq, segment = found, found.next_seq, max(found.log_floor, 1)
+            self.manifest, self.next_seq, segment, wide = found, found.next_seq, max(found.log_floor, 1), []
             for number, seq, operations in wal.replay(self.files, found.log_floor):
-                self._apply(seq, operations)
-                self.next_seq, segment = max(self.next_seq, seq + len(operations)), number + 1
+                segment = number + 1
+                if seq is None:
+                    wide.append(number)
+                else:
+                    self._apply(seq, operations)
+                    self.next_seq = max(self.next_seq, seq + len(operations))
             for name in self.files.names(wal.FOLDER):  # a segment whose only frame was torn
                 if name.isdigit() and int(name) >= segment:
                     self.files.delete(f"{wal.FOLDER}/{name}")
         self.log = wal.Log(self.files, segment, self._apply)
+        if found is not None and wide:  # a crash came before these were flushed; what the memtable holds is newer
+            for number in wide:
+                self._flush_wide(wal.read_wide(spark, self.files, number))
+            self._freeze()
+            self._flush_frozen()
+            self.compact()
 
     def _apply(self, first_seq: int, operations: list) -> None:
         with self._lock:
@@ -204,6 +217,54 @@ class Database:
             self._add_table(latest(assign_sequence(operations, base)), count, size)
             self.compact()
 
+    def write_batches(self, operations: DataFrame, size: int) -> None:
+        """Applies a DataFrame of operations (ord, key, op, value), ``size`` to a batch in the order of ord, through the log.
+
+        Executors write the frames of all batches, which then appear in the log as one wide segment: from there on a crash
+        loses none of them. What the memtable can't hold is flushed from it to a table and the log is cut; the last
+        batches, up to a memtable's size, stay in log and memtable. A batch is seen whole or not at all, and only after those before it."""
+        if size < 1:
+            raise InvalidParams("a batch has one operation at least")
+        self._await_flush()
+        with self._work:
+            self._flush_now()
+            count, n_bytes = operations.agg(F.count("*"), _bytes()).first()
+            if not count:
+                return
+            with self._lock:
+                base, self.next_seq = self.next_seq, self.next_seq + count
+            parts = parts_of(count, n_bytes)
+            rows = wal.numbered(operations, self._folder("log/.numbered"), parts)
+            wal.write_wide(rows, self._folder("log/.wide"), base, size, parts)
+            self.files.delete("log/.numbered")
+            frames = wal.read_wide(self.spark, self.files, self.log.adopt("log/.wide"))
+            start, kept = base + count, 0
+            for r in frames.select("first", "size").orderBy(F.col("first").desc()).limit(MOST_KEPT).collect():
+                kept += r["size"]
+                if kept > self.params.max_memtable_size:
+                    break
+                start = r["first"]
+            last = [wal.decode(bytes(r["frame"])) for r in frames.filter(F.col("first") >= start).select("first", "frame").orderBy("first").collect()]
+            self._flush_wide(frames.filter(F.col("first") < start))
+            self._freeze()
+            with self._lock:
+                alone = self.next_seq == base + count
+                entries = [self.log.enqueue(seq, batch, True) for seq, batch in last] if alone else []
+            for entry in entries:
+                self.log.commit(entry)
+            if not alone:  # others wrote meanwhile; the memtable holds nothing that is older than a table
+                self._flush_wide(frames.filter(F.col("first") >= start))
+            self._flush_frozen()
+            self.compact()
+
+    def _flush_wide(self, frames: DataFrame) -> None:
+        """Batches of a wide segment to a level-0 table; the log is not cut yet."""
+        count, size, top = frames.agg(F.sum("n"), F.sum("size"), F.max(F.col("first") + F.col("n"))).first()
+        if count:
+            with self._lock:
+                self.next_seq = max(self.next_seq, top)
+            self._add_table(latest(wal.wide_entries(frames)), count, size)
+
     def write_entries(self, entries: DataFrame) -> None:
         """Adds entries (key, seq, op, value) that bring their own sequence numbers, from 0, in whatever order they arrive.
 
@@ -357,7 +418,9 @@ class Database:
         rows = self.frozen.rows()
         if rows:
             self._add_table(frame_of(self.spark, rows), len(rows), self.frozen.size, self._floor)
-            self.log.truncate(self.manifest.log_floor)
+        elif self.manifest.log_floor < self._floor:
+            self._commit(lambda now: replace(now, next_seq=self.next_seq, log_floor=self._floor))
+        self.log.truncate(self.manifest.log_floor)
         with self._lock:
             self.frozen = None
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..database import Database
 from ..functions import bigint_key, decode_bigint, decode_text, padded_key, text_key
-from ..model import DELETE, PUT, InvalidParams, Params, StartMode, WriteBatch, WriteOptions
+from ..model import DELETE, PUT, InvalidParams, Params, StartMode, WriteBatch
 from ..operators import batch, compaction, scans, values
 from ..operators.resolve import latest, live
 from ..sources.manifest import Manifest, tables_frame
@@ -449,14 +449,9 @@ def store_layers(spark, sf_dir):
 
 
 def wal_replay_orders(spark, sf_dir):
-    """The whole order log through the write path in batches of 500; flushes cut the log, the rest is replayed at the reopening."""
-    db, held = _store(spark, max_memtable_size=1 << 20), WriteBatch()
-    for r in order_log(spark, sf_dir).orderBy("seq").toLocalIterator(prefetchPartitions=True):
-        held = held.put(r["key"], r["value"]) if r["op"] == PUT else held.delete(r["key"])
-        if len(held) == 500:
-            db.write(held, WriteOptions(sync=False))
-            held = WriteBatch()
-    db.write(held)
+    """The whole order log through the log in batches of 500, whose frames executors write; the flush cuts it, the rest is replayed at the reopening."""
+    db = _store(spark, max_memtable_size=1 << 20)
+    db.write_batches(order_log(spark, sf_dir).withColumnRenamed("seq", "ord"), 500)
     db.stop()
     return _text(Database(spark, StartMode.OPEN, db.params).scan())
 

@@ -65,6 +65,11 @@ class Files:
         stream.hsync()
         stream.close()
 
+    def move(self, name: str, target: str) -> None:
+        """Gives a file or folder another name, under which there is nothing yet."""
+        if self.exists(target) or not self.fs.rename(self._path(name), self._path(target)):
+            raise StorageError(f"{target} can't be put in place")
+
     def replace(self, name: str, data: bytes) -> None:
         """Puts a file in the place of another; either is there whole."""
         folder, _, base = name.rpartition("/")

@@ -13,7 +13,8 @@ from ..operators.compaction import Table, prune
 FILE_ENTRIES, FILE_BYTES = 1 << 20, 256 << 20
 
 
-def _files(count: int, size: int) -> int:
+def parts_of(count: int, size: int) -> int:
+    """How many files, and tasks that sort them, so many entries and bytes take."""
     return max(1, -(-count // FILE_ENTRIES), -(-size // FILE_BYTES))
 
 
@@ -25,7 +26,7 @@ def _sorted(entries: DataFrame, files: int) -> DataFrame:
 def write_table(entries: DataFrame, path: str, table_id: int, level: int, params: Params, count: int, size: int = 0) -> Table | None:
     """Writes entries (the STORED schema) as one sorted table; None if there are none. count, size: about how many there are, and their bytes."""
     spark = entries.sparkSession
-    writer = _sorted(entries, _files(count, size)).write.mode("overwrite").option("compression", params.compression).option("parquet.page.row.count.limit", params.max_key_block_size)
+    writer = _sorted(entries, parts_of(count, size)).write.mode("overwrite").option("compression", params.compression).option("parquet.page.row.count.limit", params.max_key_block_size)
     # version 2 writes keys as lengths of common prefixes and suffixes, if no dictionary is tried first
     writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#key", "false")
     if params.bloom_filters:
@@ -45,7 +46,7 @@ def read_tables(spark: SparkSession, tables: list[Table], low: bytes | None = No
 
 def write_values(values: DataFrame, folder: str, batch_id: int, params: Params, size: int = 0) -> None:
     """One value batch, sorted by offset; size: about how many bytes there are."""
-    rows, files = values.select("offset", "key", "value"), _files(0, size)
+    rows, files = values.select("offset", "key", "value"), parts_of(0, size)
     parts = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, "offset")
     parts.sortWithinPartitions("offset").write.mode("overwrite").option("compression", params.compression).parquet(f"{folder}/batch_id={batch_id}")
 

@@ -348,3 +348,67 @@ def test_a_failed_write_is_nobody_s_success(spark, tmp_path):
     with pytest.raises(StorageError):
         db.put(b"b", b"2")
     assert db.get(b"k1") is None and list(Database(spark, StartMode.OPEN, db.params).iter()) == [(b"a", b"1")]
+
+
+def ordered(spark, n, dead=lambda i: i % 7 == 0, start=0):
+    """n operations on n / 2 keys; their places are far apart, and the rows come in no order."""
+    rows = [(start + 10 * i, bytearray(b"key_%05d" % (i % (n // 2))), 2 if dead(i) else 1, None if dead(i) else bytearray(b"value %d" % i)) for i in range(n)]
+    random.Random(3).shuffle(rows)
+    return spark.createDataFrame(rows, "ord long, key binary, op byte, value binary")
+
+
+def applied(n, dead=lambda i: i % 7 == 0):
+    model = {}
+    for i in range(n):
+        model[b"key_%05d" % (i % (n // 2))] = None if dead(i) else b"value %d" % i
+    return {k: v for k, v in model.items() if v is not None}
+
+
+def test_many_batches_go_through_the_log_side_by_side(spark, tmp_path, monkeypatch):
+    from stratalog.sources import tables
+
+    monkeypatch.setattr(tables, "FILE_ENTRIES", 700)  # several parts, whose borders are not those of batches
+    db = Database(spark, StartMode.CREATE_OR_OVERRIDE, Params(path=f"file://{tmp_path}/s", max_memtable_size=4000))
+    db.put(b"before", b"x")
+    first, held = db.next_seq, []
+    monkeypatch.setattr(db.log, "adopt", lambda folder, adopt=db.log.adopt: held.append(wal.read_wide(spark, db.files, n := adopt(folder)).orderBy("first").collect()) or n)
+    db.write_batches(ordered(spark, 3000), 50)
+    frames = [wal.decode(bytes(r["frame"])) for r in held[0]]
+    assert [(seq, len(batch)) for seq, batch in frames] == [(first + 50 * i, 50) for i in range(60)]
+    assert [key for _, batch in frames for _, key, _ in batch] == [b"key_%05d" % (i % 1500) for i in range(3000)]
+    want = applied(3000) | {b"before": b"x"}
+    assert dict(db.iter()) == want and 0 < db.memtable.size <= 4000  # the last batches are in the memtable,
+    assert all(db.files.is_file(f"log/{n}") for n in db.files.names("log"))  # the wide segment is cut
+    db.put(b"key_00001", b"after")
+    db.stop()
+    again = Database(spark, StartMode.OPEN, db.params)
+    assert again.memtable.size > 0 and dict(again.iter()) == want | {b"key_00001": b"after"} and again.next_seq == first + 3001
+    again.write_batches(ordered(spark, 0), 50)
+    with pytest.raises(InvalidParams):
+        again.write_batches(ordered(spark, 10), 0)
+
+
+@pytest.mark.parametrize("where", ["_flush_wide", "_freeze", "_flush_frozen"])
+def test_a_crash_after_the_wide_segment_loses_nothing(spark, tmp_path, monkeypatch, where):
+    db = Database(spark, StartMode.CREATE_OR_OVERRIDE, Params(path=f"file://{tmp_path}/s", max_memtable_size=2000))
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    monkeypatch.setattr(db, where, crash)
+    with pytest.raises(RuntimeError):
+        db.write_batches(ordered(spark, 400), 20)
+    for _ in range(2):
+        db = Database(spark, StartMode.OPEN, db.params)
+        assert dict(db.iter()) == applied(400) and db.next_seq == 401
+        assert all(db.files.is_file(f"log/{n}") for n in db.files.names("log"))
+
+
+def test_writes_meanwhile_win_over_many_batches(spark, tmp_path, monkeypatch):
+    db = Database(spark, StartMode.CREATE_OR_OVERRIDE, Params(path=f"file://{tmp_path}/s"))
+    monkeypatch.setattr(wal, "write_wide", lambda *a, write=wal.write_wide: (write(*a), db.put(b"key_00010", b"newer")))
+    db.write_batches(ordered(spark, 400), 20)
+    want = applied(400) | {b"key_00010": b"newer"}
+    assert db.get(b"key_00010") == b"newer" and dict(db.iter()) == want
+    db.stop()
+    assert dict(Database(spark, StartMode.OPEN, db.params).iter()) == want

@@ -2,9 +2,10 @@
 
 A document's key is the first 60 bits of md5(doc_id). The directory starts as one bucket; a bucket over the byte limit is
 split on the next bit, others are left, so a shard is named by the shortest prefix of bits whose documents fit. Splitting
-needs only sums of bytes by prefix: those of twelve further bits are aggregated at once (partial sums before the shuffle),
-and each prefix finds the least depth at which its bucket fits; only buckets that are still too large go on to the next
-twelve bits.
+needs only sums of bytes by prefix: those of twelve further bits are aggregated at once (partial sums before the shuffle).
+A bucket is a shard if it fits and the two halves of the bucket above it together don't; each prefix finds the one it lies
+in, and only buckets that are still too large go on to the next twelve bits. The shards of the first twelve bits are
+broadcast, 4096 at most; later ones grow with the documents and are shuffled.
 
 Edge cases: documents that no bit parts (one document over the limit, or rows with equal doc_id) make a shard of their
 own that is flagged as oversized; null text has 0 bytes; a null doc_id is keyed as "null"; an empty table gives no rows;
@@ -13,7 +14,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -43,14 +44,16 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         sums = open_.groupBy(_prefix("key", high).alias("p")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"), F.min("key").alias("a"), F.max("key").alias("b"))
         sums = scratch.save(sums, f"sums{low}")
         levels = sums.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("at", F.expr(f"shiftright(p, cast({high} - depth as int))"))
-        buckets = levels.groupBy("depth", "at").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"), (F.min("a") == F.max("b")).alias("one"))
-        fits = buckets.filter((F.col("shard_bytes") <= limit) | F.col("one"))
-        least = levels.select("p", "depth", "at").join(fits, ["depth", "at"]).groupBy("p").agg(F.min(F.struct("depth", "at", "shard_bytes", "shard_docs")).alias("leaf"))
-        leaves = scratch.save(least, f"leaves{low}")
-        found = open_.withColumn("p", _prefix("key", high)).join(leaves, "p", "left")
+        buckets = levels.groupBy("depth", "at").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"), F.min("a").alias("a"), F.max("b").alias("b")).withColumn("one", F.col("a") == F.col("b"))
+        above = Window.partitionBy("depth", F.expr("shiftright(at, 1)"))  # a bucket and its other half
+        split = (F.col("depth") == low) | ((F.sum("shard_bytes").over(above) > limit) & (F.min("a").over(above) != F.max("b").over(above)))
+        fits = buckets.withColumn("split", split).filter("split").filter((F.col("shard_bytes") <= limit) | F.col("one"))
+        least = levels.select("p", "depth", "at").join(fits.select("depth", "at", "shard_bytes", "shard_docs").hint("merge"), ["depth", "at"])
+        leaves = scratch.save(least.select("p", F.struct("depth", "at", "shard_bytes", "shard_docs").alias("leaf")), f"leaves{low}")
+        found = open_.withColumn("p", _prefix("key", high)).join(leaves.hint("broadcast" if low == 0 else "merge"), "p", "left")
         here = found.filter(F.col("leaf").isNotNull()).select("doc_id", "n_bytes", "leaf.*")
         done = here if done is None else done.unionByName(here)
-        if high == BITS or not sums.join(leaves, "p", "left_anti").limit(1).count():
+        if high == BITS or leaves.count() == sums.count():  # each prefix has one leaf at most
             break
         open_ = scratch.save(found.filter(F.col("leaf").isNull()).select("doc_id", "n_bytes", "key"), f"open{low}")
         low = high + 1

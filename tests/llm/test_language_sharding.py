@@ -168,3 +168,16 @@ def test_written_shards(spark, docs, rows, empty, tmp_path):
     assert not list((tmp_path / "none").glob("shard=*"))
     with pytest.raises(ValueError):
         shard.write_shards(docs.withColumn("Shard", F.lit(1)), path)
+
+
+def test_only_the_first_bits_shards_are_broadcast(spark, monkeypatch):
+    plans, save = {}, shard.Scratch.save
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(shard.Scratch, "save", lambda self, df, name: (plans.setdefault(name, plan(df)), save(self, df, name))[1])
+    got = shard.assign(spark.range(12_000).selectExpr("id AS doc_id", "'x' AS text"), 2)
+    assert {"leaves0", "leaves13"} <= set(plans) and got.filter("shard_docs > 2 OR oversized").count() == 0
+    assert "Broadcast" not in plans["leaves0"] + plans["sums13"] + plans["leaves13"]
+    assert plan(got).count("BroadcastHashJoin") == 1 and plan(got).count("SortMergeJoin") >= 1  # the first round's, and later ones

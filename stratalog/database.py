@@ -392,7 +392,7 @@ class Database:
             path = self._folder(f"values/.staged-{m.next_batch}")
             numbered.write.mode("overwrite").parquet(path)
             numbered = self.spark.read.parquet(path)
-            write_values(numbered.filter(F.col("op") == PUT), self._folder("values"), m.next_batch, self.params, size)
+            write_values(numbered.filter(F.col("op") == PUT), self._folder("values"), m.next_batch, self.params, count, size)
             put = F.col("op") == PUT
             entries = numbered.select("key", "seq", "op", F.lit(None).cast("binary").alias("value"), F.when(put, F.lit(m.next_batch)).cast("long").alias("batch_id"), F.when(put, F.col("offset")).alias("offset"))
         else:

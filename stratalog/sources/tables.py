@@ -44,9 +44,9 @@ def read_tables(spark: SparkSession, tables: list[Table], low: bytes | None = No
     return spark.read.schema(STORED).parquet(*paths) if paths else spark.createDataFrame([], STORED)
 
 
-def write_values(values: DataFrame, folder: str, batch_id: int, params: Params, size: int = 0) -> None:
-    """One value batch, sorted by offset; size: about how many bytes there are."""
-    rows, files = values.select("offset", "key", "value"), parts_of(0, size)
+def write_values(values: DataFrame, folder: str, batch_id: int, params: Params, count: int, size: int = 0) -> None:
+    """One value batch, sorted by offset; count, size: about how many values there are, and their bytes."""
+    rows, files = values.select("offset", "key", "value"), parts_of(count, size)
     parts = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, "offset")
     parts.sortWithinPartitions("offset").write.mode("overwrite").option("compression", params.compression).parquet(f"{folder}/batch_id={batch_id}")
 

@@ -412,3 +412,14 @@ def test_writes_meanwhile_win_over_many_batches(spark, tmp_path, monkeypatch):
     assert db.get(b"key_00010") == b"newer" and dict(db.iter()) == want
     db.stop()
     assert dict(Database(spark, StartMode.OPEN, db.params).iter()) == want
+
+
+def test_short_values_are_sorted_in_several_tasks(spark, tmp_path, monkeypatch):
+    from stratalog.sources import tables
+
+    monkeypatch.setattr(tables, "FILE_ENTRIES", 1000)
+    db = Database(spark, NEW, params(tmp_path, separate_values=True))
+    db.write_df(batch(spark, 4000, "v"))  # far fewer bytes than a file may hold
+    files = list((tmp_path / "store" / "values" / "batch_id=1").glob("*.parquet"))
+    assert len(files) == 4 and max(spark.read.parquet(f"file://{f}").count() for f in files) < 1500
+    assert db.get(b"key_00017") == b"v17" and dict(db.iter()) == {b"key_%05d" % i: b"v%d" % i for i in range(4000)}

@@ -423,3 +423,17 @@ def test_short_values_are_sorted_in_several_tasks(spark, tmp_path, monkeypatch):
     files = list((tmp_path / "store" / "values" / "batch_id=1").glob("*.parquet"))
     assert len(files) == 4 and max(spark.read.parquet(f"file://{f}").count() for f in files) < 1500
     assert db.get(b"key_00017") == b"v17" and dict(db.iter()) == {b"key_%05d" % i: b"v%d" % i for i in range(4000)}
+
+
+def test_rewritten_short_values_are_sorted_in_several_tasks(spark, tmp_path, monkeypatch):
+    from stratalog.sources import tables
+
+    monkeypatch.setattr(tables, "FILE_ENTRIES", 500)
+    db = Database(spark, NEW, params(tmp_path, separate_values=True))
+    db.write_df(batch(spark, 6000, "v"))
+    db.write_df(batch(spark, 4600, "w"))  # of the first batch 1400 values stay live: it is sparse
+    assert db.collect_garbage() == {1: "rewrite"}
+    rewritten = list((tmp_path / "store" / "values" / "batch_id=3").glob("*.parquet"))
+    assert len(rewritten) == 3 and max(spark.read.parquet(f"file://{f}").count() for f in rewritten) < 800
+    want = {b"key_%05d" % i: b"%s%d" % (b"w" if i < 4600 else b"v", i) for i in range(6000)}
+    assert dict(db.reverse_iter()) == want

@@ -30,7 +30,7 @@ from .operators.resolve import latest, live
 from .sources import log as wal
 from .sources.files import Files
 from .sources.manifest import Manifest, commit, load
-from .sources.tables import parts_of, read_tables, read_values, write_table, write_values
+from .sources.tables import dealt, in_order, parts_of, read_tables, read_values, tasks_of, write_table, write_values
 
 #: Batches of a wide segment that stay in log and memtable at most.
 MOST_KEPT = 1000
@@ -60,6 +60,11 @@ def _bytes():
     return F.sum((F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long"))
 
 
+def _sizes(tables: list) -> tuple[int, int]:
+    """Entries and bytes of tables."""
+    return sum(t.num_entries for t in tables), sum(t.size_bytes for t in tables)
+
+
 class Database:
     def __init__(self, spark: SparkSession, mode: StartMode = StartMode.CREATE_OR_OPEN, params: Params | None = None):
         self.spark, self.params = spark, params or Params()
@@ -306,10 +311,31 @@ class Database:
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in STORED.fields[4:]]
         return stored.unionByName(frame_of(self.spark, recent).select("*", *none))
 
-    def _values(self, rows: DataFrame) -> DataFrame:
-        if not self.params.separate_values:
-            return rows.drop("batch_id", "offset")
-        return sep.dereference(rows, read_values(self.spark, self._folder("values"), self.manifest.batches)).select("key", "value")
+    def _deal(self, batches: tuple[int, ...]):
+        """Deals what is joined with these value batches."""
+        sizes = [self.manifest.batch_sizes.get(b, (0, 0)) for b in batches]
+        count, size = sum(n for n, _ in sizes), sum(s for _, s in sizes)
+        return lambda rows, *columns: dealt(rows, count, size, *columns)
+
+    def _scan(self, live_rows, reverse: bool = False, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+        """key and value of the live rows of entries, in the order of keys; low, high: the closed range that they lie in.
+
+        Entries are dealt by key before they are ranked: a table holds a key once, so ranking before the shuffle, as elsewhere,
+        would only sort whole splits of its files."""
+        entries, m = self.entries(low, high), self.manifest
+        tables = prune(m.tables, low, high)
+        count, size = _sizes(tables)
+        if low is not None and tasks_of(self.spark, count, size):  # of large tables a range may be very little
+            n = read_tables(self.spark, tables).filter((F.col("key") >= F.lit(low)) & (F.col("key") <= F.lit(high))).count()
+            count, size = n, size * n // count
+        rows = live_rows(dealt(entries, count, size, "key"))
+        if m.separate_values:
+            rows = sep.dereference(rows, read_values(self.spark, self._folder("values"), m.batches), self._deal(m.batches)).select("key", "value")
+            total, value_size = map(sum, zip((0, 0), *(m.batch_sizes.get(b, (0, 0)) for b in m.batches)))
+            size += value_size * count // max(total, count, 1)
+        else:
+            rows = rows.drop("batch_id", "offset")
+        return in_order(rows, count, size, reverse)
 
     def get(self, key: bytes) -> bytes | None:
         """The key's value. The memtables answer without a job, newest first; else one job reads the tables whose range holds
@@ -340,20 +366,20 @@ class Database:
         return sep.dereference(found, read_values(self.spark, self._folder("values"), self.manifest.batches)) if self.params.separate_values else found.drop("batch_id", "offset")
 
     def scan(self) -> DataFrame:
-        return self._values(live(self.entries())).orderBy("key")
+        return self._scan(live)
 
     def reverse_scan(self) -> DataFrame:
-        return self._values(live(self.entries())).orderBy(F.col("key").desc())
+        return self._scan(live, True)
 
     def range_scan(self, low: bytes, high: bytes) -> DataFrame:
         """low <= key < high, ascending."""
         ops.check_bounds(low, high)
-        return self._values(ops.range_scan(self.entries(low, high), low, high)).orderBy("key")
+        return self._scan(lambda entries: ops.range_scan(entries, low, high), False, low, high)
 
     def reverse_range_scan(self, high: bytes, low: bytes) -> DataFrame:
         """low < key <= high, descending."""
         ops.check_bounds(low, high)
-        return self._values(ops.reverse_range_scan(self.entries(low, high), high, low)).orderBy(F.col("key").desc())
+        return self._scan(lambda entries: ops.reverse_range_scan(entries, high, low), True, low, high)
 
     @staticmethod
     def _pairs(rows: DataFrame) -> Iterator[tuple[bytes, bytes]]:
@@ -402,7 +428,8 @@ class Database:
         if table is not None:
             floor = m.log_floor if floor is None else floor
             batches = (*m.batches, m.next_batch) if apart else m.batches
-            self._commit(lambda now: replace(now.with_tables(add=[table]), next_table=m.next_table + 1, next_batch=m.next_batch + apart, batches=batches, next_seq=self.next_seq, log_floor=floor))
+            sizes = m.batch_sizes | {m.next_batch: (count, size)} if apart else m.batch_sizes
+            self._commit(lambda now: replace(now.with_tables(add=[table]), next_table=m.next_table + 1, next_batch=m.next_batch + apart, batches=batches, batch_sizes=sizes, next_seq=self.next_seq, log_floor=floor))
             self._log_levels()
 
     def _freeze(self) -> None:
@@ -459,8 +486,9 @@ class Database:
                 below = any(t.level > plan.level + 1 and t.overlaps(low, high) for t in m.tables)
                 above = any(t.table_id not in ids and t.level <= plan.level + 1 and t.overlaps(low, high) for t in m.tables)
                 # A deletion may go only if no other table could hold an older version of its key.
-                merged = merge(read_tables(self.spark, old), drop_deletions=not below and not above and m.source_base is None)
-                table = write_table(merged, self._folder(f"tables/{m.next_table}"), m.next_table, plan.level + 1, self.params, sum(t.num_entries for t in old), sum(t.size_bytes for t in old))
+                count, size = _sizes(old)
+                merged = merge(dealt(read_tables(self.spark, old), count, size, "key"), drop_deletions=not below and not above and m.source_base is None)
+                table = write_table(merged, self._folder(f"tables/{m.next_table}"), m.next_table, plan.level + 1, self.params, count, size)
                 self._commit(lambda now: replace(now.with_tables([table] if table else [], old), next_table=m.next_table + 1, cursor=cursor))
             self._log_levels()
             return plan
@@ -490,11 +518,12 @@ class Database:
             if not self.params.separate_values:
                 return {}
             self._flush_now()
-            values, entries = read_values(self.spark, self._folder("values"), self.manifest.batches), self.entries()
-            actions = {r["batch_id"]: r["action"] for r in sep.garbage(sep.batch_liveness(values, entries)).collect()}  # a row for each batch
+            values, entries = read_values(self.spark, self._folder("values"), self.manifest.batches), dealt(self.entries(), *_sizes(self.manifest.tables), "key")
+            actions = {r["batch_id"]: r["action"] for r in sep.garbage(sep.batch_liveness(values, entries, self._deal(self.manifest.batches))).collect()}  # a row for each batch
             sparse = [b for b, a in actions.items() if a == "rewrite"]
             if sparse:
-                kept = sep.references(entries).filter(F.col("batch_id").isin(sparse)).join(values.drop("key"), ["batch_id", "offset"])
+                deal, wanted = self._deal(tuple(sparse)), F.col("batch_id").isin(sparse)
+                kept = deal(sep.references(entries).filter(wanted), *sep.PLACE).join(deal(values.filter(wanted).drop("key"), *sep.PLACE), sep.PLACE)
                 path = self._folder("values/.rewrite")
                 kept.select("key", "value").write.mode("overwrite").parquet(path)
                 again = self.spark.read.parquet(path)
@@ -503,7 +532,7 @@ class Database:
                 self.files.delete("values/.rewrite")
             if actions:
                 left = tuple(b for b in self.manifest.batches if b not in actions)
-                self._commit(lambda now: replace(now, batches=left))
+                self._commit(lambda now: replace(now, batches=left, batch_sizes={b: n for b, n in now.batch_sizes.items() if b in left}))
             return actions
 
     def _sought(self, in_vain) -> None:

@@ -5,6 +5,8 @@ an anti-join, instead of being kept up to date by every write."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from .resolve import latest
 
 #: A batch with a smaller share of live values is rewritten.
 SPARSE = 0.25
+PLACE = ["batch_id", "offset"]
+
+
+def _as_is(rows: DataFrame, *_: str) -> DataFrame:
+    return rows
 
 
 def references(entries: DataFrame) -> DataFrame:
@@ -20,10 +27,10 @@ def references(entries: DataFrame) -> DataFrame:
     return latest(entries).filter((F.col("op") == PUT) & F.col("batch_id").isNotNull()).select("batch_id", "offset", "key")
 
 
-def dereference(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """The rows with their values: inline ones stay, others are looked up by (batch_id, offset)."""
+def dereference(rows: DataFrame, values: DataFrame, deal: Callable[..., DataFrame] = _as_is) -> DataFrame:
+    """The rows with their values: inline ones stay, others are looked up by (batch_id, offset). deal: partitions what is joined by columns."""
     stored = values.select("batch_id", "offset", F.col("value").alias("_stored"))
-    joined = rows.join(stored, ["batch_id", "offset"], "left")
+    joined = deal(rows, *PLACE).join(deal(stored, *PLACE), PLACE, "left")
     return joined.withColumn("value", F.coalesce("value", "_stored")).drop("_stored", "batch_id", "offset")
 
 
@@ -37,9 +44,9 @@ def dead_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     return values.select("batch_id", "offset", "key").join(references(entries), ["batch_id", "offset"], "left_anti")
 
 
-def batch_liveness(values: DataFrame, entries: DataFrame) -> DataFrame:
-    """batch_id, total, live for each value batch."""
-    marked = values.select("batch_id", "offset").join(references(entries).withColumn("live", F.lit(1)), ["batch_id", "offset"], "left")
+def batch_liveness(values: DataFrame, entries: DataFrame, deal: Callable[..., DataFrame] = _as_is) -> DataFrame:
+    """batch_id, total, live for each value batch. deal: partitions what is joined by columns."""
+    marked = deal(values.select(*PLACE), *PLACE).join(deal(references(entries).withColumn("live", F.lit(1)), *PLACE), PLACE, "left")
     return marked.groupBy("batch_id").agg(F.count("*").alias("total"), F.count("live").alias("live"))
 
 

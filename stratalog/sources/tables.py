@@ -18,6 +18,26 @@ def parts_of(count: int, size: int) -> int:
     return max(1, -(-count // FILE_ENTRIES), -(-size // FILE_BYTES))
 
 
+def tasks_of(spark: SparkSession, count: int, size: int) -> int:
+    """Over how many tasks entries go if none is to sort many more than a file takes, or than a quarter of its bytes; 0: what one
+    task takes is left to Spark, which fits the tasks to its cores. Its own partitions grow with the input: splits of files
+    up to 128 MB, and shuffled ones of 64 MB, compressed, which hold millions of short rows."""
+    parts = parts_of(count, 4 * size)
+    return 0 if parts == 1 else max(parts, spark.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, count: int, size: int, *columns: str) -> DataFrame:
+    """The rows dealt by the columns over the tasks that so many entries take."""
+    n = tasks_of(rows.sparkSession, count, size)
+    return rows.repartition(n, *columns) if n else rows
+
+
+def in_order(rows: DataFrame, count: int, size: int, reverse: bool = False) -> DataFrame:
+    """The rows in the order of keys, sorted in the tasks that so many take."""
+    order, n = F.col("key").desc() if reverse else F.col("key").asc(), tasks_of(rows.sparkSession, count, size)
+    return (rows.repartitionByRange(n, order) if n else rows).orderBy(order)
+
+
 def _sorted(entries: DataFrame, files: int) -> DataFrame:
     parts = entries.coalesce(1) if files == 1 else entries.repartitionByRange(files, "key")
     return parts.sortWithinPartitions("key", "seq")

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import time
 
 import pytest
@@ -437,3 +438,60 @@ def test_rewritten_short_values_are_sorted_in_several_tasks(spark, tmp_path, mon
     assert len(rewritten) == 3 and max(spark.read.parquet(f"file://{f}").count() for f in rewritten) < 800
     want = {b"key_%05d" % i: b"%s%d" % (b"w" if i < 4600 else b"v", i) for i in range(6000)}
     assert dict(db.reverse_iter()) == want
+
+
+def test_scans_garbage_and_merges_of_large_tables_are_dealt(spark, tmp_path, monkeypatch):
+    from stratalog import database
+    from stratalog.sources import tables
+
+    seen = {}
+
+    def most(rows):  # rows of the task that gets most
+        return max(r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+    def watched(module, name, at):
+        plain = getattr(module, name)
+
+        def run(*args, **more):
+            seen[name] = most(args[at])
+            return plain(*args, **more)
+
+        monkeypatch.setattr(module, name, run)
+
+    monkeypatch.setattr(tables, "FILE_ENTRIES", 500)
+    watched(database.sep, "batch_liveness", 1)
+    watched(database, "merge", 0)
+    db = Database(spark, NEW, params(tmp_path, separate_values=True))
+    for i in range(5):  # the fifth table makes level 0 too full
+        db.write_df(batch(spark, 3000, "abcde"[i]))
+    db.write_df(batch(spark, 10, "z"))
+    assert seen["merge"] < 800  # of 15000
+    assert set(db.collect_garbage().values()) == {"drop"} and seen["batch_liveness"] < 800
+    want = {b"key_%05d" % i: b"%s%d" % (b"z" if i < 10 else b"e", i) for i in range(3000)}
+    db.stop()
+    db = Database(spark, StartMode.OPEN, db.params)
+    assert set(db.manifest.batch_sizes) == set(db.manifest.batches)
+    for rows, ways in ((db.scan(), 1), (db.reverse_scan(), -1)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "row_number(), 1, Partial" not in plan and "SinglePartition" not in plan
+        dealt = [int(n) for n in re.findall(r"partitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert len(dealt) >= 4 and min(dealt) >= 6  # by key, both sides by place, by range of keys
+        assert most(rows) < 800
+        assert [(bytes(r["key"]), bytes(r["value"])) for r in rows.collect()] == sorted(want.items())[::ways]
+    few = db.range_scan(b"key_00005", b"key_00015")
+    assert [bytes(r["value"]) for r in few.collect()] == [want[b"key_%05d" % i] for i in range(5, 15)]
+    assert few.rdd.getNumPartitions() < 6
+    wide = db.reverse_range_scan(b"key_02500", b"key_00500")
+    assert most(wide) < 800 and [bytes(r["key"]) for r in wide.collect()] == [b"key_%05d" % i for i in range(2500, 500, -1)]
+
+
+def test_manifests_without_sizes_of_batches_are_read(spark, tmp_path):
+    import json
+
+    from stratalog.sources.manifest import Manifest
+
+    now = Manifest(batches=(1, 2), batch_sizes={1: (5, 60), 2: (7, 80)})
+    assert Manifest.decode(now.encode()) == now
+    raw = json.loads(now.encode())
+    del raw["batch_sizes"]
+    assert Manifest.decode(json.dumps(raw).encode()) == Manifest(batches=(1, 2))
